@@ -62,5 +62,6 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Itera
         yield ids, texts
 
 
-def column_list(docs: DataFrame) -> list[Column]:
-    return [docs[c] for c in docs.columns]
+def quoted(name: str) -> Column:
+    """The column of this name, which may hold dots and backquotes."""
+    return F.col("`" + name.replace("`", "``") + "`")

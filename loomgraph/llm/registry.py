@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, exact, quality, spans, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_quality": quality.op2_quality,
+    "op3_suffix_array": suffixes.op3_suffix_array,
+    "op5_exact": exact.op5_exact,
+    "op8_sentence_spans": spans.op8_sentence_spans,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_array": suffixes.OP3_SQL,
+    "op5_exact": exact.OP5_SQL,
+    "op8_sentence_spans": spans.OP8_SQL,
+}
