@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, quality, spans, suffixes
+from . import bpe, exact, quality, secrets, simhash, spans, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_quality": quality.op2_quality,
     "op3_suffix_array": suffixes.op3_suffix_array,
     "op5_exact": exact.op5_exact,
+    "op6_simhash": simhash.op6_simhash,
     "op8_sentence_spans": spans.op8_sentence_spans,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
