@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, quality, secrets, simhash, spans, suffixes
+from . import bpe, exact, packing, quality, secrets, simhash, spans, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": simhash.op6_simhash,
     "op8_sentence_spans": spans.op8_sentence_spans,
     "op9_secrets": secrets.op9_secrets,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
