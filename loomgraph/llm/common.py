@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +67,22 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Itera
 def quoted(name: str) -> Column:
     """The column of this name, which may hold dots and backquotes."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def tree_sum(vectors: DataFrame, fan_in: int = 64) -> np.ndarray | None:
+    """The sum of (m BINARY) rows of doubles, of which each partition has at most one; None if there are none.
+
+    Levels of at most `fan_in` rows a group are added up until that many remain, so no task and not the driver
+    holds more of them, whatever the number of partitions.
+    """
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [key[0]], "m": [sum(np.frombuffer(m) for m in pdf.sort_values("from")["m"]).tobytes()]})
+
+    left = vectors.rdd.getNumPartitions()
+    level = vectors.withColumn("g", F.spark_partition_id())
+    while left > fan_in:
+        level = level.withColumn("from", F.col("g")).withColumn("g", F.expr(f"int(g DIV {fan_in})")).groupBy("g").applyInPandas(add, "g int, m binary")
+        left = -(-left // fan_in)
+    rows = sorted((r["g"], bytes(r["m"])) for r in level.select("g", "m").collect())
+    return sum(np.frombuffer(m) for _, m in rows) if rows else None

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, text_frame
+from .common import chunks, cut, text_frame, tree_sum
 from .kernel import words
 
 BUCKETS = 256
@@ -61,13 +61,8 @@ def _moments(texts: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
             total += p.T @ p
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"m": [sum(np.frombuffer(m) for m in pdf["m"]).tobytes()]})
-
-    parts = texts.select("doc_id", "text").mapInArrow(run, "m binary")
-    summed = parts.withColumn("g", F.spark_partition_id() % 64).groupBy("g").applyInPandas(add, "m binary")
-    rows = summed.toPandas()["m"]
-    m = sum((np.frombuffer(r).reshape(BUCKETS + 1, -1) for r in rows), np.zeros((BUCKETS + 1, BUCKETS + 1)))
+    total = tree_sum(texts.select("doc_id", "text").mapInArrow(run, "m binary"))
+    m = np.zeros((BUCKETS + 1, BUCKETS + 1)) if total is None else total.reshape(BUCKETS + 1, -1)
     return m[-1, -1], m[-1, :-1], m[:-1, :-1]
 
 
