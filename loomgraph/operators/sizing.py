@@ -1,0 +1,19 @@
+"""Broadcasts only of what is known to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Plans whose estimated result is at most this large are broadcast; a shuffle join takes the others.
+BROADCAST_BYTES = 32 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the plan's output; it errs on the large side."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if the estimate allows it. Adaptive execution still decides by true sizes where it doesn't."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
