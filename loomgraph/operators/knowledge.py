@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-KEY = F.lower("name")
+_NAME = "name"
 
 
 def first_wins(found: DataFrame) -> DataFrame:
     """(doc_id, name_lc, name, type, chunk_id, offset, n_mentions): the first mention decides [AGG1]."""
     order = F.struct("chunk_id", "offset", "name", "type")
-    return found.groupBy("doc_id", KEY.alias("name_lc")).agg(F.min(order).alias("m"), F.count("*").alias("n_mentions")).select("doc_id", "name_lc", "m.name", "m.type", "m.chunk_id", "m.offset", "n_mentions")
+    return found.groupBy("doc_id", F.lower(_NAME).alias("name_lc")).agg(F.min(order).alias("m"), F.count("*").alias("n_mentions")).select("doc_id", "name_lc", "m.name", "m.type", "m.chunk_id", "m.offset", "n_mentions")
 
 
 def properties(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, name_lc, property, value): of (doc_id, chunk_id, name, property, value) the last chunk's value, for known entities only [AGG3]."""
-    last = rows.groupBy("doc_id", KEY.alias("name_lc"), "property").agg(F.max(F.struct("chunk_id", "value"))["value"].alias("value"))
+    last = rows.groupBy("doc_id", F.lower(_NAME).alias("name_lc"), "property").agg(F.max(F.struct("chunk_id", "value"))["value"].alias("value"))
     return last.join(known.select("doc_id", "name_lc"), ["doc_id", "name_lc"], "left_semi")
 
 
@@ -30,7 +30,7 @@ def aliases(rows: DataFrame, known: DataFrame) -> DataFrame:
 
     An alias counts only if its entity was known in an earlier chunk [AGG2].
     """
-    first = rows.groupBy("doc_id", KEY.alias("name_lc"), F.lower("alias").alias("alias")).agg(F.max("chunk_id").alias("late"), F.collect_set("chunk_id").alias("chunks"))
+    first = rows.groupBy("doc_id", F.lower(_NAME).alias("name_lc"), F.lower("alias").alias("alias")).agg(F.max("chunk_id").alias("late"), F.collect_set("chunk_id").alias("chunks"))
     k = known.select("doc_id", "name_lc", F.col("chunk_id").alias("since"))
     own = first.join(k, ["doc_id", "name_lc"]).withColumn("at", F.array_min(F.filter("chunks", lambda c: c > F.col("since")))).filter("at IS NOT NULL")
     return own.groupBy("doc_id", "name_lc").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("aliases"))
@@ -75,4 +75,4 @@ def context_summary(known: DataFrame, alias_lists: DataFrame | None = None, prop
 
 def shared_entities(found: DataFrame) -> DataFrame:
     """(name_lc, n_docs): names that more than one document mentions [JOIN14, DOM26]; an aggregate, not a self join, so a name in all documents costs no more than another."""
-    return found.groupBy(KEY.alias("name_lc")).agg(F.count_distinct("doc_id").alias("n_docs")).filter("n_docs > 1")
+    return found.groupBy(F.lower(_NAME).alias("name_lc")).agg(F.count_distinct("doc_id").alias("n_docs")).filter("n_docs > 1")

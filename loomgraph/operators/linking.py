@@ -79,7 +79,12 @@ def typo_candidates(names: DataFrame, labels: DataFrame, max_edits: int = 2) ->
     # A label is cut in the way of each length of name that is near its own.
     near = lab.join(maybe_broadcast(lengths), F.abs(F.length("label_lc") - F.col("n")) <= max_edits)
     cut = lambda k: F.floor(F.col("n") * k / parts).cast("int")
-    spots = F.flatten(F.array(*(F.transform(F.sequence(F.lit(-max_edits), F.lit(max_edits)), lambda d, k=k: F.struct(F.lit(k).alias("k"), F.substr("label_lc", F.greatest(F.lit(1), cut(k) + 1 + d), cut(k + 1) - cut(k)).alias("part"))) for k in range(parts))))
+
+    def places(k: int) -> Column:
+        size = cut(k + 1) - cut(k)
+        return F.transform(F.sequence(F.lit(-max_edits), F.lit(max_edits)), lambda d: F.struct(F.lit(k).alias("k"), F.substr("label_lc", F.greatest(F.lit(1), cut(k) + 1 + d), size).alias("part")))
+
+    spots = F.flatten(F.array(*map(places, range(parts))))
     spots = near.select("label_lc", "n", F.explode(F.array_distinct(spots)).alias("s")).select("label_lc", "n", "s.k", "s.part")
     pairs = probes.join(spots, ["n", "k", "part"]).select("name", "name_lc", "label_lc").distinct().withColumn("edits", F.levenshtein("name_lc", "label_lc", max_edits)).filter("edits >= 0")
     return pairs.join(labels.select("uri", "label", F.lower("label").alias("label_lc")), "label_lc").select("name", "uri", "label", F.col("edits").cast("long").alias("edits"))

@@ -11,7 +11,7 @@ BROADCAST_BYTES = 32 << 20
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the plan's output; it errs on the large side."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
