@@ -35,8 +35,8 @@ class CharacterClass:
 
 
 CLASSES = (
-    CharacterClass("hex", r"(?<![A-Za-z0-9+/_=-])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![A-Za-z0-9+/_=-])", 24, 24, 2.8, r"(?=.*[A-Fa-f])(?=.*[0-9])"),
-    CharacterClass("base64", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", 16, 20, 3.3, r"(?=.*[A-Za-z])(?=.*[0-9])"),
+    CharacterClass("hex", r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?![A-Za-z0-9+/_=-])", 24, 24, 2.8, r"(?=.*[A-Fa-f])(?=.*[0-9])"),
+    CharacterClass("base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", 16, 20, 3.3, r"(?=.*[A-Za-z])(?=.*[0-9])"),
 )
 #: Matches of these, or candidates right after such words, are no secrets.
 ALLOW = (
@@ -44,7 +44,7 @@ ALLOW = (
     r"(?i)example|placeholder|changeme|your[_-]?(?:api|key|token)|x{6,}|^(.)\1+$|0123456789|123456789012",
     r"(?i)^(?:https?|ftp|www)|^[a-z]+(?:[-_/][a-z]+)*[-_/]?\d{0,4}$|^\d{4}-\d\d-\d\d",
 )
-ALLOW_BEFORE = r"(?i)(?:\bsha(?:1|256|384|512)[-:=]|\bmd5[-:=]|\bcommit |\bintegrity=\"?|://[^\s\"']*)$"
+ALLOW_BEFORE = r"(?i)(?:\bsha(?:1|256|384|512)[-:=]|\bmd5[-:=]|\bcommit |\bintegrity=\"?|://[^\s\"']*|\b(?:https?|ftps?|ssh|git|s3|file):)$"
 MASK = "[SECRET]"
 #: Characters before a candidate in which ALLOW_BEFORE is sought; URLs longer than this count from here.
 CONTEXT = 200
