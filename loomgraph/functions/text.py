@@ -18,7 +18,7 @@ PRONOUNS = {
     "plural": "they themselves theirs their them".split(),
 }
 #: Capitalised at a sentence's start without naming anything.
-STOP_WORDS = "The A An This That These Those In On At By For From To Of And But Or If When While As With After Before It's".split()
+STOP_WORDS = "The A An This That These Those Then There Here In On At By For From To Of And But Or If When While As With After Before It's".split()
 ORGANISATION_MARKS = ("Corp", "Company", "Ltd", "LLC", "Inc")
 SCHEMA_TYPES = {"Person": ("person",), "Organization": ("organization", "organisation", "company"), "Place": ("place", "location", "city", "country"), "Event": ("event",)}
 
@@ -162,7 +162,7 @@ def lowered_subject(x: Column) -> Column:
 
 def csv_list(x: Column) -> Column:
     """[FN17] the parts of a comma-separated list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(x, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def is_date_shaped(x: Column) -> Column:
