@@ -159,3 +159,17 @@ def resolve(docs: DataFrame, strategy: str = "rules") -> DataFrame:
     if strategy == "rules":
         return rewrite_pronouns(docs)
     raise ValueError(f"no such strategy of resolution: {strategy}")
+
+
+def simple_antecedents(docs: DataFrame) -> DataFrame:
+    """(doc_id, position, pronoun, pronoun_type, antecedent): each pronoun with the last capitalised word of three letters or more before it [DOM5, JOIN9, FLT25].
+
+    Positions are those of words in the text; outer punctuation doesn't count. Neither agreement nor distance is looked at.
+    """
+    word = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    rows = docs.select("doc_id", F.posexplode(F.transform(T.word_list(F.col("text")), word)).alias("position", "w")).withColumn("pronoun_type", T.pronoun_type(F.col("w")))
+    name = F.col("pronoun_type").isNull() & F.col("w").rlike(r"^\p{Lu}..") & ~F.col("w").isin("The", "A", "An", "This")
+    rows = rows.filter(name | F.col("pronoun_type").isNotNull())
+    before = W.partitionBy("doc_id").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("pronoun_type").isNull(), F.col("w")), ignorenulls=True).over(before)
+    return rows.select("doc_id", "position", F.col("w").alias("pronoun"), "pronoun_type", last.alias("antecedent")).filter("pronoun_type IS NOT NULL")

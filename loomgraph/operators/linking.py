@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -137,3 +138,32 @@ def link(names: DataFrame, labels: DataFrame, strategy: str = "local", fuzzy: bo
 def link_rate(names: DataFrame, links: DataFrame) -> DataFrame:
     """(n_linked, n_names) [AGG24]."""
     return _names(names).join(links, "name", "left").agg(F.count("uri").alias("n_linked"), F.count("*").alias("n_names"))
+
+
+def disambiguation_prompt(name: str, kind: str | None, labels: list[str], scores: list[float]) -> str:
+    """[FN10, FN20] a numbered list to choose from."""
+    lines = "\n".join(f"{k}. {label} ({score:.2f})" for k, (label, score) in enumerate(zip(labels, scores), 1))
+    return f"Which of these is meant by “{name}”" + (f" of type {kind}" if kind else "") + f"? Answer with the number alone.\n{lines}"
+
+
+def provider_choice(provider: Callable[[], object]) -> Callable[[DataFrame], DataFrame]:
+    """A `choose` for best_links() that asks an extraction provider about each ambiguous name, once [DOM13].
+
+    The answer must be a number of the list; a name with any other answer gets no link.
+    """
+
+    def choose(candidates: DataFrame) -> DataFrame:
+        @F.pandas_udf("int")
+        def ask(names: pd.Series, labels: pd.Series, scores: pd.Series) -> pd.Series:
+            p, out = provider(), []
+            for n, own, x in zip(names, labels, scores):
+                answer = p.answer([("user", disambiguation_prompt(n, None, list(own), list(x)))]).strip()
+                out.append(int(answer) if answer.isdecimal() and 1 <= int(answer) <= len(own) else 0)
+            return pd.Series(out, dtype="int32")
+
+        best_first = F.struct((-F.col("confidence")).alias("c"), "uri", "label", "confidence")
+        g = candidates.groupBy("name").agg(F.sort_array(F.collect_list(best_first)).alias("x"))
+        asked = g.withColumn("k", ask.asNondeterministic()("name", F.col("x.label"), F.col("x.confidence"))).filter("k > 0")
+        return asked.select("name", F.element_at("x", F.col("k")).alias("b")).select("name", "b.uri", "b.label", "b.confidence")
+
+    return choose

@@ -158,3 +158,15 @@ def guided_antecedents(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def coref_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return coref.rewrite_pronouns(documents(spark, d))
+
+
+@query(
+    rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS position, regexp_replace(unnest(w), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS w FROM w),
+b AS (SELECT *, regexp_replace(lower(w), '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g') AS bare FROM t),
+k AS (SELECT *, {_TYPE} AS pronoun_type FROM b),
+l AS (SELECT *, last_value(CASE WHEN pronoun_type IS NULL AND regexp_matches(w, '^\p{{Lu}}..') AND w NOT IN ('The', 'A', 'An', 'This') THEN w END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antecedent FROM k)
+SELECT doc_id, CAST(position AS INTEGER) AS position, w AS pronoun, pronoun_type, antecedent FROM l WHERE pronoun_type IS NOT NULL"""
+)
+def simple_antecedents(spark: SparkSession, d: str) -> DataFrame:
+    return coref.simple_antecedents(documents(spark, d))
