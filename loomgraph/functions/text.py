@@ -102,12 +102,17 @@ def token_estimate(x: Column) -> Column:
     return F.shiftright(F.octet_length(x).cast("long"), 2)
 
 
+def needs_chunking(x: Column, size: int) -> Column:
+    """[FLT6] more bytes than a chunk may have."""
+    return F.octet_length(x) > size
+
+
 def chunk_estimate(x: Column, size: int, overlap: int) -> Column:
     """[FN7] chunks of `size` bytes that overlap: 1 if all fits in one."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     n = F.octet_length(x)
-    return F.when(n <= size, F.lit(1)).otherwise(F.ceil(n / (size - overlap))).cast("long")
+    return F.when(~needs_chunking(x, size), F.lit(1)).otherwise(F.ceil(n / (size - overlap))).cast("long")
 
 
 def json_of_response(x: Column) -> Column:

@@ -9,7 +9,7 @@ sentences back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -152,12 +152,34 @@ def rewrite_pronouns(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataF
     return docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
 
 
-def resolve(docs: DataFrame, strategy: str = "rules") -> DataFrame:
-    """[DOM2, DOM3, DOM5] docs' texts under a strategy: none, rules."""
+def resolve(docs: DataFrame, strategy: str = "rules", provider: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+    """[DOM2, DOM3, DOM5, SRC12] (doc_id, resolved_text, n_replaced) under a strategy: none, rules, provider.
+
+    A provider, made once a task, turns a text into the resolved one; where it fails the text stays as it is and
+    n_replaced is null. It is called once a distinct text of a batch.
+    """
     if strategy == "none":
         return docs.select("doc_id", F.col("text").alias("resolved_text"), F.when(F.col("text").isNotNull(), F.lit(0).cast("long")).alias("n_replaced"))
     if strategy == "rules":
         return rewrite_pronouns(docs)
+    if strategy == "provider" and provider is not None:
+
+        @F.pandas_udf("struct<resolved_text string, n_replaced long>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            p = provider()
+
+            def one(t: str) -> tuple[str, int | None]:
+                try:
+                    new = p(t)
+                except Exception:  # whatever a service throws; the row says so by its null
+                    return t, None
+                return new, int(new != t)
+
+            for s in batches:
+                known = {t: one(t) for t in dict.fromkeys(s.dropna())}
+                yield pd.DataFrame([(None, None) if t is None else known[t] for t in s], columns=["resolved_text", "n_replaced"]).astype({"n_replaced": "Int64"})
+
+        return docs.select("doc_id", run.asNondeterministic()("text").alias("r")).select("doc_id", "r.*")
     raise ValueError(f"no such strategy of resolution: {strategy}")
 
 

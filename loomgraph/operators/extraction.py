@@ -43,6 +43,16 @@ _PATTERNS = (
 _NAME = re.compile(r"[A-ZÀ-Þ][a-zß-ÿ][\w'-]*(?: [A-ZÀ-Þ][a-zß-ÿ][\w'-]*)*")
 
 
+def context_prompt(known: list[str], text: str) -> str:
+    """[FN10] what is asked about a chunk when earlier ones gave these names."""
+    return ("Known so far: " + "; ".join(known) + "\n\n" if known else "") + text
+
+
+def retry_prompt(error: str) -> str:
+    """[FN9, FN10] what is told to a provider about its last answer."""
+    return HINTS[error]
+
+
 class RuleProvider:
     """Finds relations by patterns; the subject is that of the first match, or the text's first name. Deterministic."""
 
@@ -118,7 +128,7 @@ def extract_one(provider: Provider, prompt: str, options: Options = Options()) -
         error = problem(doc)
         if error is None or (error == "no_type" and not options.strict):
             return J.dump(J.normalize_document(doc)), attempt, None
-        messages += [("assistant", answer), ("user", HINTS[error])]
+        messages += [("assistant", answer), ("user", retry_prompt(error))]
     return None, options.max_retries + 1, error
 
 
@@ -178,8 +188,7 @@ def extract_with_context(chunks: DataFrame, provider: Callable[[], Provider] = R
             for d, c, t in zip(b["doc_id"], b["chunk_id"], b["text"]):
                 if d != doc:
                     doc, names = d, []
-                told = "Known so far: " + "; ".join(names) + "\n\n" if names else ""
-                x, attempts, error = extract_one(p, told + t, options)
+                x, attempts, error = extract_one(p, context_prompt(names, t), options)
                 rows.append((d, c, x, attempts, error))
                 root = J.load(x) if x else None
                 if isinstance(root, dict) and isinstance(root.get("name"), str) and root["name"] not in names:

@@ -76,3 +76,19 @@ def context_summary(known: DataFrame, alias_lists: DataFrame | None = None, prop
 def shared_entities(found: DataFrame) -> DataFrame:
     """(name_lc, n_docs): names that more than one document mentions [JOIN14, DOM26]; an aggregate, not a self join, so a name in all documents costs no more than another."""
     return found.groupBy(F.lower(_NAME).alias("name_lc")).agg(F.count_distinct("doc_id").alias("n_docs")).filter("n_docs > 1")
+
+
+def has_entity(names: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of (doc_id, name, ..) whose document knows the name, letters' case aside [FLT22]."""
+    return names.withColumn("name_lc", F.lower("name")).join(known.select("doc_id", "name_lc"), ["doc_id", "name_lc"], "left_semi").select(*names.columns)
+
+
+def entity_of(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, asked, name, type, chunk_id, offset): the entity of each asked name that its document knows [JOIN17]."""
+    asked = names.select("doc_id", F.col("name").alias("asked"), F.lower("name").alias("name_lc")).distinct()
+    return asked.join(known, ["doc_id", "name_lc"]).select("doc_id", "asked", "name", "type", "chunk_id", "offset")
+
+
+def counts(known: DataFrame) -> DataFrame:
+    """(doc_id, type, n): entities of each type, and of all with a null type [AGG4, AGG5]."""
+    return known.groupBy("doc_id", "type").agg(F.count("*").alias("n")).unionByName(known.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("type", F.lit(None).cast("string")))

@@ -290,3 +290,29 @@ def test_recognised_entities_as_documents(spark):
     e = spark.createDataFrame([(1, "Bob", "person", 0.9, 5, 8), (1, "Rome", "city", 0.8, 1, 4), (1, "x", "event", 0.2, 0, 1), (2, "Acme", "company", 0.5, 0, 4)], "doc_id long, text string, type string, confidence double, start long, end long")
     got = {r.doc_id: json.loads(r.jsonld) for r in extraction.entities_to_documents(e).collect()}
     assert [n["name"] for n in got[1]["@graph"]] == ["Rome", "Bob"] and got[2]["@type"] == "Organization" and got[2]["@id"] == "entity_0"
+
+
+# -- what is left
+
+
+class Shouts:
+    def __call__(self, text):
+        if "fail" in text:
+            raise OSError("down")
+        return text.replace("he", "Bob")
+
+
+def test_resolution_by_a_provider(spark):
+    got = {r.doc_id: (r.resolved_text, r.n_replaced) for r in coref.resolve(docs(spark, "he ate", "plain", "fail he", None), "provider", Shouts).collect()}
+    assert got == {0: ("Bob ate", 1), 1: ("plain", 0), 2: ("fail he", None), 3: (None, None)}
+    assert coref.resolve(docs(spark, "he"), "none").first().resolved_text == "he"
+    with pytest.raises(ValueError):
+        coref.resolve(docs(spark, "x"), "other")
+
+
+def test_lookups_in_what_is_known(spark):
+    known = knowledge.first_wins(found(spark))
+    names = spark.createDataFrame([(1, "bob"), (1, "nobody"), (2, "bob"), (2, "ACME")], "doc_id long, name string")
+    assert sorted(map(tuple, knowledge.has_entity(names, known).collect())) == [(1, "bob"), (2, "ACME")]
+    assert {(r.asked, r.name) for r in knowledge.entity_of(names, known).collect()} == {("bob", "Bob"), ("ACME", "Acme")}
+    assert {(r.type, r.n) for r in knowledge.counts(known).filter("doc_id = 1").collect()} == {("Person", 2), ("Organization", 1), (None, 3)}
