@@ -45,11 +45,12 @@ class Vocabulary:
                     self.joined[pair] = rank
         # A token that merging never makes (its own encoding is something else) can't end an encoding.
         self.usable = {b for b, i in ranks.items() if len(b) == 1 or i in self.halves}
-        self.lengths_by_last: dict[int, tuple[int, ...]] = {}
+        self.usable_rank = {b: ranks[b] for b in self.usable}
         ends: dict[int, set[int]] = {}
         for b in self.usable:
             ends.setdefault(b[-1], set()).add(len(b))
-        self.lengths_by_last = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        # By last byte and depth (up to the longest token's), the lengths that a token can have, the longest first.
+        self.lengths_by_depth = {c: [tuple(sorted((n for n in v if n <= d), reverse=True)) for d in range(self.longest + 1)] for c, v in ends.items()}
         self.seen: dict[int, bool] = {}
 
     def _merged(self, word: bytes, below: int | None = None) -> list[bytes]:
@@ -103,51 +104,44 @@ class Vocabulary:
         return verdict
 
     def encode_words(self, distinct: list[bytes]) -> dict[bytes, list[int]]:
-        """Encodings of distinct words by one depth-first traversal of their trie."""
-        root: list = [{}, False]
-        for w in distinct:
-            node = root
-            for c in w:
-                nxt = node[0].get(c)
-                if nxt is None:
-                    nxt = node[0][c] = [{}, False]
-                node = nxt
-            node[1] = True
-        out: dict[bytes, list[int]] = {}
-        ranks, usable, holds, by_last = self.ranks, self.usable, self.holds, self.lengths_by_last
-        path = bytearray()
+        """Encodings of distinct words by one depth-first traversal of their trie.
+
+        The trie is in array form: the words in order, and of each the length of the path that it shares with
+        the one before. Going through them in order is the traversal; what hangs on the shared path stays.
+        """
+        get, holds, lengths, longest = self.usable_rank.get, self.holds, self.lengths_by_depth, self.longest
+        seen = self.seen
         last: list[int] = []  # last[d]: the token that ends the encoding of the path's first d+1 bytes
         size: list[int] = []
-        if root[1]:
-            out[b""] = []
-        stack = [(0, c, node) for c, node in root[0].items()]
-        while stack:
-            depth, c, node = stack.pop()
-            del path[depth:], last[depth:], size[depth:]
-            path.append(c)
-            d = depth + 1
-            for n in by_last[c]:
-                if n > d:
-                    continue
-                piece = bytes(path[d - n : d])
-                if piece not in usable:
-                    continue
-                token = ranks[piece]
-                if n == d or holds(last[d - n - 1], token):
+        out: dict[bytes, list[int]] = {}
+        before = b""
+        for w in sorted(distinct):
+            m = min(len(w), len(before))
+            differ = int.from_bytes(w[:m], "big") ^ int.from_bytes(before[:m], "big")
+            shared = m - (differ.bit_length() + 7) // 8
+            del last[shared:], size[shared:]
+            for d in range(shared + 1, len(w) + 1):
+                for n in lengths[w[d - 1]][d if d < longest else longest]:
+                    token = get(w[d - n : d])
+                    if token is None:
+                        continue
+                    if n < d:
+                        left = last[d - n - 1]
+                        fits = seen.get(left << 24 | token)
+                        if not (holds(left, token) if fits is None else fits):
+                            continue
                     last.append(token)
                     size.append(n)
                     break
-            else:
-                raise ValueError("the vocabulary lacks single bytes")
-            if node[1]:
-                ids, k = [], d
-                while k:
-                    ids.append(last[k - 1])
-                    k -= size[k - 1]
-                ids.reverse()
-                out[bytes(path)] = ids
-            for c2, child in node[0].items():
-                stack.append((d, c2, child))
+                else:
+                    raise ValueError("the vocabulary lacks single bytes")
+            ids, k = [], len(w)
+            while k:
+                ids.append(last[k - 1])
+                k -= size[k - 1]
+            ids.reverse()
+            out[w] = ids
+            before = w
         return out
 
 
