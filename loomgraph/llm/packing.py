@@ -104,6 +104,8 @@ class Tree:
             axis = int(np.ptp(s, axis=0).argmax())
             share = leaves // 2 / leaves
             at = float(np.quantile(s[:, axis], share))
+            if at <= s[:, axis].min():  # so many points share the least value that the share falls among them
+                at = float(s[s[:, axis] > at, axis].min(initial=np.inf))
             left = s[:, axis] < at
             if left.any() and not left.all():
                 me = len(self.axis)
@@ -153,8 +155,43 @@ class Tree:
         return np.concatenate([w for w, _ in found]), np.repeat([c for _, c in found], [len(w) for w, _ in found])
 
 
-def nearest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances) of the k nearest of y for each of x, by (distance, id); its own row (by id) doesn't count. -1 and inf where y is short."""
+def nearest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, leaf: int = CELL) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, squared distances) of the k nearest of y for each of x, by (distance, id); its own row (by id) doesn't count. -1 and inf where y is short.
+
+    A y of more than twice `leaf` points is split further by a tree of its own, so the work grows with y and not with its square.
+    """
+    return _compared(x, own, y, ids, k) if len(y) <= 2 * leaf else _split_search(x, own, y, ids, k, leaf)
+
+
+def _split_search(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    tree = Tree(y, -(-len(y) // leaf))
+    cell = tree.cell(y)
+    order = np.argsort(cell, kind="stable")
+    edge = np.searchsorted(cell[order], np.arange(len(tree.low_) + 1))
+    near, far = np.full((len(x), k), -1, np.int64), np.full((len(x), k), np.inf)
+
+    def look(who: np.ndarray, where: np.ndarray) -> None:
+        by = np.argsort(where, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(where[by])) + 1) if len(by) else ():
+            rows, c = who[part], where[part[0]]
+            own_y = order[edge[c] : edge[c + 1]]
+            if not len(own_y):
+                continue
+            i, d = _compared(x[rows], own[rows], y[own_y], ids[own_y], k)
+            i, d = np.hstack((near[rows], i)), np.hstack((far[rows], d))
+            best = np.lexsort((i, d), axis=1)[:, :k]
+            near[rows], far[rows] = np.take_along_axis(i, best, 1), np.take_along_axis(d, best, 1)
+
+    home = tree.cell(x)
+    look(np.arange(len(x)), home)
+    who, where = tree.touched(x, far[:, k - 1])
+    other = where != home[who]
+    look(who[other], where[other])
+    return near, far
+
+
+def _compared(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """nearest() by looking at all of y."""
     near = np.full((len(x), k), -1, np.int64)
     far = np.full((len(x), k), np.inf)
     order = np.argsort(ids, kind="stable")

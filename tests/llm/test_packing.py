@@ -31,6 +31,17 @@ def test_the_graph_is_that_of_brute_force(spark, small):
     assert {i: [g[k] for k in range(4)] for i, g in got.items()} == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 25), st.integers(1, 5), st.integers(1, 9), st.integers(0, 10**6))
+def test_a_large_cell_is_searched_as_a_small_one(n, m, k, leaf, seed):
+    r = np.random.default_rng(seed)
+    y, ids = r.integers(0, 5, (n, 4)).astype(float), r.permutation(n).astype(np.int64)
+    x = np.vstack([y[: n // 2], r.integers(0, 6, (m, 4)).astype(float)])
+    own = np.concatenate([ids[: n // 2], np.full(m, -7)])
+    for a, b in zip(packing._split_search(x, own, y, ids, k, leaf), packing._compared(x, own, y, ids, k)):
+        assert (a == b).all()
+
+
 def brute_walk(ids, edges, degree):
     near = defaultdict(set)
     for a, b, d in edges:
