@@ -2,7 +2,7 @@
 
 A record is a JSON text in whatever layout its source uses. The nested field paths of
 the parsed record are hashed; the hash selects a mapping, which is looked for once a
-hash and worker, and the mapping, a list of declarative steps, is run by Spark's own
+hash and task, and the mapping, a list of declarative steps, is run by Spark's own
 expressions over the parsed record. One pass, no shuffle.
 """
 
