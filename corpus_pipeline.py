@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import exact, packing, quality, secrets, simhash
-from loomgraph.llm.common import shared_dir
+from loomgraph.llm.common import remove, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written as Parquet to the shared folder and read again by the next."""
+    """All stages over documents; what a stage keeps is written as Parquet to the shared folder and read again by the next.
+
+    A stage's files are deleted when those of the next are complete; the last one's stay for the caller to read.
+    """
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{next(_runs)}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
