@@ -75,7 +75,7 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def tree_sum(vectors: DataFrame, fan_in: int = 64) -> np.ndarray | None:
+def tree_sum(vectors: DataFrame, fan_in: int = 16) -> np.ndarray | None:
     """The sum of (m BINARY) rows of doubles, of which each partition has at most one; None if there are none.
 
     Levels of at most `fan_in` rows a group are added up until that many remain, so no task and not the driver
