@@ -22,16 +22,18 @@ from ..functions import text as T
 MAX_DISTANCE = 3
 
 _FORMS = [f for forms in T.PRONOUNS.values() for f in forms]
-_PRONOUN = r"(?<!\S)[^\p{L}\s]*(?i:" + "|".join(sorted(_FORMS, key=len, reverse=True)) + r")[^\p{L}\s]*(?!\S)"
+# Cheap tests come first, so that most words cost one look at their first letter.
+_PRONOUN = r"(?<!\S)(?=[^\p{L}\s]*[hHsSiItT])[^\p{L}\s]*(?i:" + "|".join(sorted(_FORMS, key=len, reverse=True)) + r")[^\p{L}\s]*(?!\S)"
 _NO_NAME = r"(?!(?:" + "|".join(sorted(T.STOP_WORDS, key=len, reverse=True)) + r")[^\p{L}\s]*(?!\S))(?!" + _PRONOUN.removeprefix(r"(?<!\S)") + ")"
 _REST = r"[^\s\p{Lu}\p{Lt}\p{Lm}\p{Lo}]*"
-_NAME = rf"(?<!\S){_NO_NAME}\p{{Lu}}[^\p{{Lu}}\s]\S*(?:\s+{_NO_NAME}\p{{Lu}}{_REST}(?!\S))*"
+_NAME = rf"(?<!\S)(?=\p{{Lu}}){_NO_NAME}\p{{Lu}}[^\p{{Lu}}\s]\S*(?:\s+(?=\p{{Lu}}){_NO_NAME}\p{{Lu}}{_REST}(?!\S))*"
 MENTION = f"{_PRONOUN}|{_NAME}"
 # Java's matcher recurses on a repeated group, so there the words that go on a name are first tied to what
 # stands before them; a block of tied words holds at most a pronoun, at its head, and one name, up to its end.
 _TIE = "\u0001"
-_JOINT = rf"\s+(?={_NO_NAME}\p{{Lu}}{_REST}(?!\S))"
-_IN_BLOCK = rf"(?:^|{_TIE}){_NO_NAME.replace('(?!' + chr(92) + 'S)', f'(?=$|{_TIE})')}(\p{{Lu}}[^\p{{Lu}}{_TIE}].*)$"
+_JOINT = rf"\s+(?=\p{{Lu}}){_NO_NAME}(?=\p{{Lu}}{_REST}(?!\S))"
+_BLOCK = rf"(?<!\S)(?:[^\s\p{{Lu}}]*+\p{{Lu}}\S*|{_PRONOUN.removeprefix('(?<!' + chr(92) + 'S)')})"
+_IN_BLOCK = rf"(?:^|{_TIE})(?=\p{{Lu}}){_NO_NAME.replace('(?!' + chr(92) + 'S)', f'(?=$|{_TIE})')}(\p{{Lu}}[^\p{{Lu}}{_TIE}].*)$"
 
 
 def mentions(docs: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(T.sentence_list(F.col("text"))).alias("sentence", "s"))
     head = lambda b: F.substring_index(b, _TIE, 1)
     both = lambda b: F.array(F.when(T.pronoun_type(head(b)).isNotNull(), head(b)), F.nullif(F.regexp_extract(b, _IN_BLOCK, 1), F.lit("")))
-    blocks = F.split(F.regexp_replace("s", _JOINT, _TIE), r"\s+")
+    blocks = F.regexp_extract_all(F.regexp_replace("s", _JOINT, _TIE), F.lit(_BLOCK), 0)  # with a capital letter or a pronoun
     found = rows.select("doc_id", "sentence", F.posexplode(F.array_compact(F.flatten(F.transform(blocks, both)))).alias("ordinal", "raw"))
     bare = F.regexp_replace(F.replace("raw", F.lit(_TIE), F.lit(" ")), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     return found.select("doc_id", "sentence", "ordinal", bare.alias("mention"), T.pronoun_type(F.col("raw")).alias("pronoun_type"))
@@ -98,6 +100,7 @@ class Rewriter:
 
     def __init__(self, max_distance: int = MAX_DISTANCE):
         self.pattern = regex.compile(MENTION)
+        self.pronoun = regex.compile(_PRONOUN.replace(r"\s", r"\s.").replace(r"\S", r"[^\s.]"))  # full stops end words here
         self.kinds = {form: kind for kind, forms in T.PRONOUNS.items() for form in forms}
         self.reach = max_distance
         self.owns = frozenset("his hers its their theirs".split())
@@ -112,6 +115,8 @@ class Rewriter:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, replacement), left to right."""
         out, last, number, start = [], {}, 0, 0
+        if not self.pronoun.search(text):
+            return out
         for part in text.split("."):
             if part.strip():
                 for m in self.pattern.finditer(part):
