@@ -135,9 +135,9 @@ def cell_counts(texts: DataFrame) -> np.ndarray:
         for lo in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 50_000].astype(np.int32)), pa.array(total[at[lo : lo + 50_000]])], ["cell", "n"])
 
-    rows = texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << CELL_BITS, np.int64)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 

@@ -218,8 +218,8 @@ def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL) -> tu
     """(pts with their cell, edges (doc_id, other, rank, d2, cell)): the k nearest other points of each, exactly; ties go to the smaller id."""
     total = pts.count()
     share = min(1.0, BORDER_POINTS / max(1, total))
-    sample = pts.sample(share, seed=7).select(*_AXES).toPandas().to_numpy() if share < 1 else pts.select(*_AXES).toPandas().to_numpy()
-    tree = Tree(sample.reshape(-1, DIMENSIONS), max(1, -(-total // cell_size)))
+    sample = (pts.sample(share, seed=7) if share < 1 else pts).select(*_AXES).toArrow()
+    tree = Tree(np.stack([c.to_numpy() for c in sample.columns], axis=1), max(1, -(-total // cell_size)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
