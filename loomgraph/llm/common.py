@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one numpy step handles; a longer document is one step of its own.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 500_000
 
 
 def text_frame(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh_name, text_frame
+from .common import CHUNK_CHARS, chunks, fresh_name, text_frame
 from .kernel import mix, powers, inverse
 
 MIN_REPEAT = 30
@@ -169,7 +169,7 @@ def repetition_filter(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered
     return docs.withColumn(flag, verdict(F.col("text").cast("string"))).filter(F.col(flag)).drop(flag)
 
 
-def _slices(texts: list[str | None], limit: int = 1_500_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
