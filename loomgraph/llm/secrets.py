@@ -4,7 +4,8 @@ A candidate is a maximal run of the characters of a class (hexadecimal digits, o
 the base64 alphabets) that is long enough. A window slides over it; the counts of
 its characters are updated by the one that leaves and the one that enters, and with
 them Shannon's entropy. A candidate with a window at or above its class's threshold is
-a secret unless the allow-list matches it or what stands around it.
+a secret unless the allow-list matches it or what stands around it. Of a URL, host and path are
+allowed; user and password, query, fragment and the paths of web hooks are judged like any text.
 """
 
 from __future__ import annotations
@@ -44,7 +45,12 @@ ALLOW = (
     r"(?i)example|placeholder|changeme|your[_-]?(?:api|key|token)|x{6,}|^(.)\1+$|0123456789|123456789012",
     r"(?i)^(?:https?|ftp|www)|^[a-z]+(?:[-_/][a-z]+)*[-_/]?\d{0,4}$|^\d{4}-\d\d-\d\d",
 )
-ALLOW_BEFORE = r"(?i)(?:\bsha(?:1|256|384|512)[-:=]|\bmd5[-:=]|\bcommit |\bintegrity=\"?|://[^\s\"']*|\b(?:https?|ftps?|ssh|git|s3|file):)$"
+ALLOW_BEFORE = r"(?i)(?:\bsha(?:1|256|384|512)[-:=]|\bmd5[-:=]|\bcommit |\bintegrity=\"?|://[^\s\"'<>`{}|\\^?#;&]*|\b(?:https?|ftps?|ssh|git|s3|file):)$"
+#: What stands before a candidate in the part of a URL that may hold user and password, with what comes after it if it does.
+IN_AUTHORITY = r"(?i)\b[a-z][a-z0-9+.-]*:(?P<slashes>//)?(?(slashes)[^\s\"'<>/?#@]*)$"
+BEFORE_HOST = r"[^\s\"'<>/?#@]*@"
+#: Hosts and first path parts behind which a URL's path is itself the credential.
+WEBHOOK = r"(?i)(?:hooks\.slack(?:-gov)?\.com/(?:services|workflows|triggers)/|discord(?:app)?\.com/api/(?:v\d+/)?webhooks/|\.webhook\.office\.com/webhookb2/|outlook\.office\.com/webhook/|hooks\.zapier\.com/hooks/|api\.telegram\.org/(?:file/)?bot)"
 MASK = "[SECRET]"
 #: Characters before a candidate in which ALLOW_BEFORE is sought; URLs longer than this count from here.
 CONTEXT = 200
@@ -77,6 +83,7 @@ class Scanner:
         self.classes = [(c, regex.compile(c.pattern), regex.compile(c.needs, regex.S)) for c in classes]
         self.allow = [regex.compile(a) for a in allow]
         self.before = regex.compile(ALLOW_BEFORE)
+        self.authority, self.host, self.webhook = regex.compile(IN_AUTHORITY), regex.compile(BEFORE_HOST), regex.compile(WEBHOOK)
         self.allowed = frozenset(allowed)
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
@@ -85,18 +92,36 @@ class Scanner:
         taken: set[int] = set()
         for c, pattern, needs in self.classes:
             for m in pattern.finditer(text):
-                s = m.group()
-                if m.start() in taken or not needs.match(s):
+                start, s = m.start(), m.group()
+                if start in taken or not needs.match(s):
                     continue
+                before = text[max(0, start - CONTEXT) : start]
+                url = self._in_url(before, s, text, m.end()) if before.endswith(":") or "://" in before else None
+                if url is not None:
+                    start, s = start + url, s[url:]
+                by = next((k for k, p, n in self.classes if p.fullmatch(s) and n.match(s)), c) if url else c
                 taken.add(m.start())
-                if s in self.allowed or any(a.search(s) for a in self.allow) or self.before.search(text[max(0, m.start() - CONTEXT) : m.start()]):
+                if len(s) < by.least or s in self.allowed or any(a.search(s) for a in self.allow) or url is None and self.before.search(before):
                     continue
-                h = window_entropy(s, c.window)
-                if h >= c.threshold:
-                    out.append((m.start(), m.end(), c.name, h))
+                h = window_entropy(s, by.window)
+                if h >= by.threshold:
+                    out.append((start, m.end(), by.name, h))
         out.sort()
         return out
 
+    def _in_url(self, before: str, s: str, text: str, end: int) -> int | None:
+        """Where in the candidate s the credential of a URL begins, if it is one: a user, a password or a web hook's path."""
+        at = self.authority.search(before)
+        if at and (at["slashes"] or s.startswith("//")) and self.host.match(text, end):
+            skip = 0 if at["slashes"] else 2
+            if "/" not in s[skip:] or at["slashes"] and before.count(":", at.start("slashes")) and not regex.match(r"\d{1,5}/", s):
+                return skip
+        around = before[before.rfind("://") :] + s
+        hook = self.webhook.search(around)
+        if hook and not regex.search(r"[\s\"'<>]", around):
+            return max(0, hook.end() - (len(around) - len(s)))
+        return None
+
 
 def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, start, end, kind, entropy): code points of each secret, end exclusive.
