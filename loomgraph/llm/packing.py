@@ -1,11 +1,10 @@
 """Related-document packing: training windows that hold neighbouring documents.
 
-1. Each text becomes a point: its hashed word counts, damped and normalised, less the
-   corpus mean, projected on the corpus's leading principal directions (counts, mean
-   and covariance are taken over all documents).
-2. A k-d tree over the points splits space into cells of some thousand documents. Every
-   point looks for its nearest neighbours in its own cell and then in each cell that
-   the ball up to its k-th neighbour so far touches, so the graph is exact.
+1. Each text becomes a point: its hashed word counts, damped and normalised. Nearness is
+   that of these whole profiles.
+2. Centres of a sample part the points into cells of some thousand documents. Every point
+   is compared with all points of the PROBES cells whose centres are nearest to it, by exact
+   distances; with no more cells than that the graph is exact.
 3. In each cell, paths start at the unvisited document of lowest degree and step to the
    nearest unvisited neighbour until there is none; the next path follows.
 4. Windows of a fixed number of tokens are filled along the paths; a document that
@@ -23,26 +22,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, text_frame, tree_sum
+from .common import chunks, cut, text_frame
 from .kernel import words
 
 BUCKETS = 256
-DIMENSIONS = 4
+DIMENSIONS = BUCKETS
 NEIGHBOURS = 6
 WINDOW = 2048
 CELL = 4000
-#: Points from which the tree's borders are read. They settle how even cells are, not what is found.
-BORDER_POINTS = 200_000
+#: Cells that each point looks through. README has the recall measured with it.
+PROBES = 8
+#: Parts that the points looking through a cell are dealt to, each with the cell's own points.
+PARTS = 2
+#: Points from which the centres are made: so many a cell, within these bounds.
+CENTRE_POINTS, LEAST_POINTS, MOST_POINTS = 32, 4096, 50_000
 _AXES = [f"x{k}" for k in range(DIMENSIONS)]
 
 
-def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(word counts, rows of unit length: square roots of the counts of words by hash bucket). A text without words has zeros."""
+def word_counts(texts: list[str | None]) -> np.ndarray:
+    """Counts of each text's words by hash bucket."""
     w = words(texts, fold=True)
-    counts = np.bincount(w.doc * np.int64(BUCKETS) + (w.hash >> np.uint64(56)).astype(np.int64), minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+    return np.bincount(w.doc * np.int64(BUCKETS) + (w.hash >> np.uint64(56)).astype(np.int64), minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
     p = np.sqrt(counts.astype(np.float32))
     n = np.sqrt((p * p).sum(axis=1, keepdims=True))
-    return counts.sum(axis=1), p / np.where(n > 0, n, 1)
+    return p / np.where(n > 0, n, 1)
+
+
+def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(word counts, rows of unit length: square roots of the counts of words by hash bucket). A text without words has zeros."""
+    counts = word_counts(texts)
+    return counts.sum(axis=1), _unit(counts)
 
 
 def tokens_of(texts: list[str | None]) -> np.ndarray:
@@ -50,40 +62,38 @@ def tokens_of(texts: list[str | None]) -> np.ndarray:
     return np.diff(words(texts).first)
 
 
-def _moments(texts: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
-    """Number of texts with words, sum of their profiles, and of the profiles' outer products; one row a partition is added up in a tree."""
+def _vectors(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, v): tokens and word counts of each row; v has the counts' lowest bytes first, then the next, so that it packs well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS + 1, BUCKETS + 1))
-        for _, chunk in chunks(batches):
-            n, p = profiles(chunk)
-            p = np.hstack([p[n > 0], np.ones((int((n > 0).sum()), 1), np.float32)])
-            total += p.T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+        for ids, chunk in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens_of(chunk)), _as_bytes(word_counts(chunk))], ["doc_id", "n", "v"])
 
-    total = tree_sum(texts.select("doc_id", "text").mapInArrow(run, "m binary"))
-    m = np.zeros((BUCKETS + 1, BUCKETS + 1)) if total is None else total.reshape(BUCKETS + 1, -1)
-    return m[-1, -1], m[-1, :-1], m[:-1, :-1]
+    return texts.mapInArrow(run, "doc_id long, n long, v binary")
 
 
-def directions(n: float, total: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, DIMENSIONS leading principal directions as columns, signs fixed)."""
-    mean = total / max(n, 1)
-    _, vectors = np.linalg.eigh(outer / max(n, 1) - np.outer(mean, mean))
-    v = vectors[:, ::-1][:, :DIMENSIONS]
-    return mean, v * np.where(v[np.abs(v).argmax(axis=0), np.arange(DIMENSIONS)] < 0, -1, 1)
+def _as_bytes(counts: np.ndarray) -> pa.Array:
+    planes = np.ascontiguousarray(counts, "<u4").view(np.uint8).reshape(len(counts), BUCKETS, 4).transpose(0, 2, 1)
+    return pa.array([row.tobytes() for row in planes], pa.binary())
+
+
+def _as_rows(v: pa.Array) -> np.ndarray:
+    """Profiles of v: of word counts, or as they are (float32) where v is marked by a byte more."""
+    raw = np.frombuffer(b"".join(v.to_pylist()), np.uint8)
+    if len(raw) > len(v) * BUCKETS * 4:
+        return np.ascontiguousarray(raw.reshape(len(v), -1)[:, 1:]).view(np.float32)
+    return _unit(np.ascontiguousarray(raw.reshape(len(v), 4, BUCKETS).transpose(0, 2, 1)).view("<u4")[:, :, 0])
 
 
 def points(texts: DataFrame) -> DataFrame:
     """(doc_id, n, x0 ..): tokens and coordinates of each row that has an id."""
-    mean, axes = directions(*_moments(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, chunk in chunks(batches):
-            x = (profiles(chunk)[1] - mean) @ axes
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens_of(chunk)), *(pa.array(x[:, k]) for k in range(DIMENSIONS))], ["doc_id", "n", *_AXES])
+        for b in batches:
+            x = _as_rows(b.column(2)).astype(float)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x[:, k]) for k in range(DIMENSIONS))], ["doc_id", "n", *_AXES])
 
-    return texts.mapInArrow(run, "doc_id long, n long, " + ", ".join(f"{a} double" for a in _AXES))
+    return _vectors(texts).mapInArrow(run, "doc_id long, n long, " + ", ".join(f"{a} double" for a in _AXES))
 
 
 class Tree:
@@ -214,51 +224,120 @@ def _compared(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k:
     return near, far
 
 
-def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL) -> tuple[DataFrame, DataFrame]:
-    """(pts with their cell, edges (doc_id, other, rank, d2, cell)): the k nearest other points of each, exactly; ties go to the smaller id."""
-    total = pts.count()
-    share = min(1.0, BORDER_POINTS / max(1, total))
-    sample = (pts.sample(share, seed=7) if share < 1 else pts).select(*_AXES).toArrow()
-    tree = Tree(np.stack([c.to_numpy() for c in sample.columns], axis=1), max(1, -(-total // cell_size)))
+def centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Unit vectors, one a cell, near which the sample's points lie: spherical k-means from a fixed start."""
+    if not len(sample):
+        return np.zeros((1, DIMENSIONS), np.float32)
+    c = sample[np.random.default_rng(7).permutation(len(sample))[:cells]].copy()
+    for _ in range(rounds if len(c) > 1 else 0):
+        near = np.concatenate([(sample[lo : lo + 4096] @ c.T).argmax(axis=1) for lo in range(0, len(sample), 4096)])
+        order = np.argsort(near, kind="stable")
+        start = np.flatnonzero(np.diff(near[order], prepend=-1))
+        total = np.add.reduceat(sample[order], start, axis=0)
+        length = np.sqrt((total * total).sum(axis=1, keepdims=True))
+        c[near[order][start]] = total / np.where(length > 0, length, 1)
+    return c
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(cell=tree.cell(b[_AXES].to_numpy()).astype(np.int32))
 
-    axes = ", ".join(f"{a} double" for a in _AXES)
-    placed = cut(pts.mapInPandas(place, f"doc_id long, n long, {axes}, cell int").repartition("cell"))
+def _most_alike(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into x, id, squared distance) of the k nearest of y (ids ascending) for each of x, by (distance, id), but for its own row.
 
-    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = pdf[_AXES].to_numpy(), pdf["doc_id"].to_numpy()
-        near, d2 = nearest(x, ids, x, ids, k)
-        out = {"doc_id": ids, **{a: x[:, i] for i, a in enumerate(_AXES)}, "cell": pdf["cell"].to_numpy(), "near": list(near), "d2": list(d2)}
-        return pd.DataFrame(out)
+    Products in single precision choose twice k rows, whose distances are then computed in double precision.
+    """
+    found = []
+    square = (y * y).sum(axis=1) / 2
+    blocks = np.arange(0, len(y), 64)
+    for lo in range(0, len(x) if len(y) else 0, 256):
+        q = x[lo : lo + 256]
+        s = q @ y.T
+        s -= square
+        at = np.minimum(np.searchsorted(ids, own[lo : lo + 256]), len(ids) - 1)
+        me = np.flatnonzero(ids[at] == own[lo : lo + 256])
+        s[me, at[me]] = -np.inf
+        if len(blocks) > 2 * k:  # k blocks have each a row at least as near as the k-th of the blocks' best
+            best = np.maximum.reduceat(s, blocks, axis=1)
+            row, col = np.nonzero(s >= np.partition(best, len(blocks) - k, axis=1)[:, len(blocks) - k, None] - 1e-5)
+        else:
+            row, col = np.nonzero(s > -np.inf)
+        by = np.lexsort((col, -np.round(s[row, col], 5), row))
+        row, col = row[by], col[by]
+        few = np.arange(len(row)) - np.searchsorted(row, row) < 2 * k
+        row, col = row[few], col[few]
+        d = np.zeros(len(row))
+        gap = (q[row].astype(float) - y[col]).T ** 2
+        for g in gap:
+            d += g
+        by = np.lexsort((col, d, row))
+        row, col, d = row[by], col[by], d[by]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((lo + row[keep], ids[col[keep]], d[keep]))
+    return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
+
+
+def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cell) of each of pts, and edges (doc_id, other, rank, d2, cell): the k nearest others found in `probes` cells; ties go to the smaller id.
+
+    pts have their profile in v or in x0 .. .
+    """
+    if "v" not in pts.columns:
 
-    local = cut(placed.groupBy("cell").applyInPandas(first, f"doc_id long, {axes}, cell int, near array<long>, d2 array<double>"))
+        def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"doc_id": b["doc_id"], "n": b["n"], "v": [b"f" + r.tobytes() for r in b[_AXES].to_numpy(np.float32)]})
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 5000):
-                p = b.iloc[lo : lo + 5000]
-                x = p[_AXES].to_numpy()
-                who, cell = tree.touched(x, np.stack(p["d2"].to_numpy())[:, k - 1] if len(p) else np.empty(0))
-                other = cell != p["cell"].to_numpy()[who]
-                who, cell = who[other], cell[other]
-                yield pd.DataFrame({"doc_id": p["doc_id"].to_numpy()[who], **{a: x[who, i] for i, a in enumerate(_AXES)}, "cell": cell.astype(np.int32)})
+        pts = pts.mapInPandas(narrow, "doc_id long, n long, v binary")
+    total = pts.count()
+    cells = max(1, -(-total // cell_size))
+    share = min(1.0, min(MOST_POINTS, max(LEAST_POINTS, CENTRE_POINTS * cells)) / max(1, total))
+    sample = pts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "v").toArrow().sort_by("doc_id")
+    middle = centres(_as_rows(sample["v"]), cells)
+    probed = min(probes, len(middle))
+
+    def rated(b: pa.RecordBatch) -> np.ndarray:
+        return np.argsort(-(_as_rows(b.column("v")) @ middle.T), axis=1, kind="stable")[:, :probed]
 
-    guests = local.select("doc_id", *_AXES, "d2", "cell").mapInPandas(visit, f"doc_id long, {axes}, cell int")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(rated(b)[:, 0], pa.int32())], ["doc_id", "n", "cell"])
 
-    def second(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"doc_id": np.empty(0, np.int64), "near": pd.Series([], dtype=object), "d2": pd.Series([], dtype=object)})
-        near, d2 = nearest(theirs[_AXES].to_numpy(), theirs["doc_id"].to_numpy(), mine[_AXES].to_numpy(), mine["doc_id"].to_numpy(), k)
-        return pd.DataFrame({"doc_id": theirs["doc_id"].to_numpy(), "near": list(near), "d2": list(d2)})
+    placed = cut(pts.mapInArrow(place, "doc_id long, n long, cell int"))
+    parts = PARTS if cells > 1 else 1
 
-    abroad = placed.groupBy("cell").cogroup(guests.groupBy("cell")).applyInPandas(second, "doc_id long, near array<long>, d2 array<double>")
-    both = local.select("doc_id", "cell", F.arrays_zip("d2", "near").alias("z")).unionByName(abroad.select("doc_id", F.lit(None).cast("int").alias("cell"), F.arrays_zip("d2", "near").alias("z")))
-    best = F.slice(F.array_sort(F.filter(F.flatten(F.collect_list("z")), lambda e: e["near"] >= 0)), 1, k)
-    merged = both.groupBy("doc_id").agg(F.max("cell").alias("cell"), best.alias("z"))
-    return placed, merged.select("doc_id", "cell", F.posexplode("z").alias("rank", "e")).select("doc_id", F.col("e.near").alias("other"), "rank", F.col("e.d2").alias("d2"), "cell")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 1000):
+                c = b.slice(lo, 1000)
+                near, ids = rated(c), c.column("doc_id").to_numpy()
+                who = np.concatenate((np.repeat(np.arange(len(c)), parts), np.repeat(np.arange(len(c)), probed)))
+                cell = np.concatenate((np.repeat(near[:, 0], parts), near.ravel()))
+                part = np.concatenate((np.tile(np.arange(parts), len(c)), np.repeat(ids % parts, probed)))
+                looks = np.arange(len(who)) >= len(c) * parts
+                yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pa.array(who)), c.column("v").take(pa.array(who)), pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(looks)], ["doc_id", "v", "cell", "part", "looks"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, y, ids = None, [], []
+        for b in batches:
+            key = b.column("cell").to_numpy().astype(np.int64) * parts + b.column("part").to_numpy()
+            looks = b.column("looks").to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.diff(key * 2 + looks, prepend=-1, append=-1))
+            for lo, hi in zip(edge, edge[1:]):
+                x, own = _as_rows(b.column("v").slice(lo, hi - lo)), b.column("doc_id").to_numpy()[lo:hi]
+                if key[lo] != now:
+                    now, y, ids = key[lo], [], []
+                if not looks[lo]:
+                    y.append(x)
+                    ids.append(own)
+                elif y:
+                    if len(y) > 1:
+                        y, ids = [np.concatenate(y)], [np.concatenate(ids)]
+                    row, other, d = _most_alike(x, own, y[0], ids[0], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(other), pa.array(d)], ["doc_id", "other", "d2"])
+
+    dealt = pts.mapInArrow(deal, "doc_id long, v binary, cell int, part int, looks boolean")
+    met = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "looks", "doc_id").mapInArrow(look, "doc_id long, other long, d2 double")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "other"))), 1, k)
+    merged = met.groupBy("doc_id").agg(best.alias("z")).join(placed.select("doc_id", F.col("cell").alias("home")), "doc_id")
+    return placed, merged.select("doc_id", "home", F.posexplode("z").alias("rank", "e")).select("doc_id", F.col("e.other").alias("other"), "rank", F.col("e.d2").alias("d2"), F.col("home").alias("cell"))
 
 
 def walk(ids: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, degree: np.ndarray) -> list[list[int]]:
@@ -301,10 +380,10 @@ def pack_related(docs: DataFrame, window: int = WINDOW, k: int = NEIGHBOURS, cel
     window_id is unique and stable for given input: the cell in the upper 32 bits, the window within it in the lower.
     Every token of every document is in exactly one piece. Texts without tokens (null or empty) take no place
     and are in no window; rows without an id are left out; of rows that repeat an id, the one with the most tokens
-    counts (with the first coordinates if these tie too). Other columns are ignored.
+    counts (with the last profile, by bytes, if these tie too). Other columns are ignored.
     """
     texts = text_frame(docs).filter("doc_id IS NOT NULL")
-    own = points(texts).filter("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", *_AXES)).alias("p")).select("doc_id", "p.*")
+    own = _vectors(texts).filter("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "v")).alias("p")).select("doc_id", "p.*")
     placed, edges = neighbours(cut(own), k, cell_size)
     edges = cut(edges)
     degree = edges.select("doc_id", "other").unionAll(edges.select("other", "doc_id")).toDF("doc_id", "other").distinct().groupBy("doc_id").agg(F.count("*").alias("degree"))

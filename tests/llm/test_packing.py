@@ -31,6 +31,22 @@ def test_the_graph_is_that_of_brute_force(spark, small):
     assert {i: [g[k] for k in range(4)] for i, g in got.items()} == want
 
 
+def test_neighbours_are_those_of_the_whole_profiles(spark):
+    """Recall against brute force over the unprojected profiles, with more cells than a point looks through."""
+    rows = [(100 * t + k, prose(1000 * t + k, 60 + k) + f" {' '.join(f'topic{t}word{(k * i) % 23}' for i in range(40))}") for t in range(40) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    x = packing.profiles([t for _, t in rows])[1].astype(float)
+    ids = np.array([i for i, _ in rows])
+    far = 2 - 2 * x @ x.T
+    np.fill_diagonal(far, np.inf)
+    _, edges = packing.neighbours(packing.points(docs), cell_size=40)
+    got = defaultdict(set)
+    for r in edges.collect():
+        got[r.doc_id].add(r.other)
+    hits = sum(len(got[i] & set(ids[np.argsort(d, kind="stable")[: packing.NEIGHBOURS]].tolist())) for i, d in zip(ids.tolist(), far))
+    assert hits / (len(ids) * packing.NEIGHBOURS) >= 0.9
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 60), st.integers(0, 25), st.integers(1, 5), st.integers(1, 9), st.integers(0, 10**6))
 def test_a_large_cell_is_searched_as_a_small_one(n, m, k, leaf, seed):
