@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -29,10 +30,13 @@ def fresh_name(docs: DataFrame, stem: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared checkpoint folder. Where none is configured, a temporary one in local mode (tests), else an error:
+    executors on other machines wouldn't see it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -46,7 +50,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that what follows neither recomputes it nor loses it with an executor."""
+    """df written to the shared folder, so that what follows neither recomputes it nor loses it with an executor.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints, Spark deletes the files once nothing refers to the result any more.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
