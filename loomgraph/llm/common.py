@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 from collections.abc import Iterator
@@ -82,15 +83,29 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def tree_sum(vectors: DataFrame, fan_in: int = 16) -> np.ndarray | None:
-    """The sum of (m BINARY) rows of doubles, of which each partition has at most one; None if there are none.
+_written = itertools.count()
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, in folders by the column `by` if that is given; it goes when Spark ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{next(_written)}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tree_sum(vectors: DataFrame, fan_in: int = 16, dtype: type = np.float64) -> np.ndarray | None:
+    """The sum of (m BINARY) rows of numbers, of which each partition has at most one; None if there are none.
 
     Levels of at most `fan_in` rows a group are added up until that many remain, so no task and not the driver
     holds more of them, whatever the number of partitions.
     """
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [key[0]], "m": [sum(np.frombuffer(m) for m in pdf.sort_values("from")["m"]).tobytes()]})
+        return pd.DataFrame({"g": [key[0]], "m": [sum(np.frombuffer(m, dtype) for m in pdf.sort_values("from")["m"]).tobytes()]})
 
     left = vectors.rdd.getNumPartitions()
     level = vectors.withColumn("g", F.spark_partition_id())
@@ -98,4 +113,4 @@ def tree_sum(vectors: DataFrame, fan_in: int = 16) -> np.ndarray | None:
         level = level.withColumn("from", F.col("g")).withColumn("g", F.expr(f"int(g DIV {fan_in})")).groupBy("g").applyInPandas(add, "g int, m binary")
         left = -(-left // fan_in)
     rows = sorted((r["g"], bytes(r["m"])) for r in level.select("g", "m").collect())
-    return sum(np.frombuffer(m) for _, m in rows) if rows else None
+    return sum(np.frombuffer(m, dtype) for _, m in rows) if rows else None

@@ -1,211 +1,351 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A word's cell is CELL_BITS bits of its hash, and its class the cell's upper bits. A
-network sees the two words on either side of each masked word, through an embedding
-table a place, a tanh layer and a softmax over the classes; within a class a cell has its
-share of the counts over all documents. So every word of a document has a
-probability given both sides, and the document's score is the sum of their logarithms.
-
-Training covers all documents: each partition runs minibatch descent in numpy over every
-word it holds, from the same start, and the partitions' parameters are averaged, weighted
-by words, in a tree of sums.
+Words are told apart by 64-bit hashes. A network sees the two words on either side of each
+masked word: their embeddings, weighted by place, go through a tanh layer to a softmax over
+2**GROUP_BITS groups of words, and to another, the group's own, over the 2**CLASS_BITS classes in
+it. Within a class a word has its share of the counts of all documents, which are kept word by
+word in a table that grows with the corpus and is joined for scoring. So every word has a probability
+given both sides, and a document's score is the sum of their logarithms.
+
+Training covers all documents in ROUNDS synchronous rounds. In each, every task descends in numpy over
+its share of the round's words, from the same parameters; the tasks' steps are averaged in a tree of
+sums, an embedding's by how often each task saw it, and are taken with momentum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, text_frame, tree_sum
-from .kernel import words
+from .common import chunks, text_frame, tree_sum, written
+from .kernel import mix, words
 
-CELL_BITS = 20
-CLASS_BITS = 7
-INPUT_BITS = 10
+GROUP_BITS, CLASS_BITS, INPUT_BITS = 6, 6, 15
 WIDTH = 32
 SIDES = (-2, -1, 1, 2)
+ROUNDS = 12
+MOMENTUM = 0.8
 BATCH = 2048
-RATE = 1.0
-_CLASSES, _INPUTS = 1 << CLASS_BITS, 1 << INPUT_BITS
+#: Steps of embeddings, of what all words share, and of a group's own softmax.
+RATE_EMBED, RATE, RATE_GROUP = 0.1, 1.0, 0.2
+#: Characters of text in a row of the table of words.
+ROW_CHARS = 2_000_000
+_GROUPS, _CLASSES, _INPUTS, _LEAVES = 1 << GROUP_BITS, 1 << CLASS_BITS, 1 << INPUT_BITS, 1 << (GROUP_BITS + CLASS_BITS)
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, document indices) of all words, one text after another; lower case, without punctuation."""
-    w = words(texts, fold=True)
-    return (w.hash >> np.uint64(64 - CELL_BITS)).astype(np.int64), w.doc
+def leaf_of(h: np.ndarray) -> np.ndarray:
+    """A word's group and class in one number."""
+    return (h >> np.uint64(64 - GROUP_BITS - CLASS_BITS)).astype(np.int32)
 
 
-def contexts(cells: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Rows of input ids at SIDES of each word; _INPUTS stands for what lies beyond the document."""
-    ids = (cells >> (CELL_BITS - INPUT_BITS)).astype(np.int32)
-    out = np.full((len(cells), len(SIDES)), _INPUTS, np.int32)
-    n = len(cells)
-    for k, s in enumerate(SIDES):
-        a = slice(max(0, -s), n - max(0, s))
-        b = slice(max(0, s), n - max(0, -s))
-        if n > abs(s):
-            out[a, k] = np.where(doc[a] == doc[b], ids[b], _INPUTS)
-    return out
+def input_of(h: np.ndarray) -> np.ndarray:
+    return (mix(h + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - INPUT_BITS)).astype(np.int32)
 
 
 @dataclass
 class Network:
-    """embed: (places, _INPUTS + 1, WIDTH); hidden bias; out: (WIDTH, classes); bias of the classes."""
+    """embed: of each input; place: weights by side; hidden: bias; out, bias: of the groups; own, own_bias: of the classes in each group.
+
+    steps: sums of squared gradients of each embedding; seen: words that moved each embedding in this task.
+    """
 
     embed: np.ndarray
+    place: np.ndarray
     hidden: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    own: np.ndarray
+    own_bias: np.ndarray
+    steps: np.ndarray
+    seen: np.ndarray
 
     @classmethod
-    def start(cls, class_share: np.ndarray) -> Network:
+    def start(cls, leaf_counts: np.ndarray) -> Network:
         r = np.random.default_rng(11)
+        by = leaf_counts.reshape(_GROUPS, _CLASSES) + 1.0
+        per = by.sum(axis=1)
+        f = np.float32
         return cls(
-            r.normal(0, 0.3, (len(SIDES), _INPUTS + 1, WIDTH)).astype(np.float32),
-            np.zeros(WIDTH, np.float32),
-            r.normal(0, 0.02, (WIDTH, _CLASSES)).astype(np.float32),
-            np.log(class_share).astype(np.float32),
+            r.normal(0, 0.1, (_INPUTS, WIDTH)).astype(f),
+            np.repeat([[0.7 if abs(s) > 1 else 1.0] for s in SIDES], WIDTH, axis=1).astype(f),
+            np.zeros(WIDTH, f),
+            np.zeros((WIDTH, _GROUPS), f),
+            np.log(per / per.sum()).astype(f),
+            np.zeros((_GROUPS, WIDTH, _CLASSES), f),
+            np.log(by / per[:, None]).astype(f),
+            np.zeros(_INPUTS, f),
+            np.zeros(_INPUTS, f),
         )
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.embed, self.hidden, self.out, self.bias)])
+        """All parameters, what all words share first."""
+        return np.concatenate([getattr(self, name).ravel() for name in _PARTS])
 
     @classmethod
     def of_flat(cls, v: np.ndarray) -> Network:
-        shapes = [(len(SIDES), _INPUTS + 1, WIDTH), (WIDTH,), (WIDTH, _CLASSES), (_CLASSES,)]
-        parts = np.split(v.astype(np.float32), np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-        return cls(*(p.reshape(s) for p, s in zip(parts, shapes)))
-
-    def activate(self, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden layer, softmax of the classes) for rows of contexts."""
-        h = self.embed[0][ctx[:, 0]]
-        for k in range(1, len(SIDES)):
-            h += self.embed[k][ctx[:, k]]
-        h += self.hidden
-        np.tanh(h, out=h)
+        sizes = [int(np.prod(s)) for s in _PARTS.values()]
+        parts = np.split(v.astype(np.float32), np.cumsum(sizes)[:-1])
+        return cls(**{name: p.reshape(s) for (name, s), p in zip(_PARTS.items(), parts)}, seen=np.zeros(_INPUTS, np.float32))
+
+    def _activate(self, x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """(embeddings, hidden layer, (middle, neighbour, same document) by side) of a run of words."""
+        e = self.embed[x]
+        n = len(x)
+        z = np.repeat(self.hidden[None], n, axis=0)
+        sides = []
+        for k, s in enumerate(SIDES):
+            a, b = slice(max(0, -s), max(0, n - max(0, s))), slice(max(0, s), max(0, n - max(0, -s)))
+            if n > abs(s):
+                same = (doc[a] == doc[b]).astype(np.float32)[:, None]
+                z[a] += e[b] * same * self.place[k]
+                sides.append((k, a, b, same))
+        return e, np.tanh(z, out=z), sides
+
+    def _softmax(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """(shares of the groups, shares of the classes in each row's group, (group, first row, end)); rows are in order of their group."""
         p = h @ self.out
         p += self.bias
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        return h, p
-
-    def learn(self, ctx: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step down the mean gradient of -log p(target) over these rows."""
-        h, g = self.activate(ctx)
-        n = len(target)
-        g[np.arange(n), target] -= 1
-        back = (g @ self.out.T) * (1 - h * h)
-        self.out -= (rate / n) * (h.T @ g)
-        self.bias -= (rate / n) * g.sum(axis=0)
-        self.hidden -= (rate / n) * back.sum(axis=0)
-        # An input occurs in few of a batch's rows, so its own step is by the root of the mean.
-        scale = rate / n**0.5
-        for k in range(len(SIDES)):
-            order = np.argsort(ctx[:, k], kind="stable")
-            own = ctx[order, k]
-            lead = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            self.embed[k][own[lead]] -= scale * np.add.reduceat(back[order], lead, axis=0)
-
-    def log_likelihood(self, cells: np.ndarray, doc: np.ndarray, n_docs: int, within: np.ndarray) -> np.ndarray:
-        """Each document's sum of log p(word | both sides); within: log share of each cell in its class."""
-        total = np.zeros(n_docs)
-        ctx = contexts(cells, doc)
-        for lo in range(0, len(cells), 8192):
-            c = cells[lo : lo + 8192]
-            _, p = self.activate(ctx[lo : lo + 8192])
-            score = np.log(p[np.arange(len(c)), c >> (CELL_BITS - CLASS_BITS)] + np.float32(1e-30)) + within[c]
-            total += np.bincount(doc[lo : lo + 8192], score, n_docs)
-        return total
-
-
-def cell_counts(texts: DataFrame) -> np.ndarray:
-    """How often each cell occurs in all texts; at most 2**CELL_BITS rows come to the driver, whatever the input."""
+        q = np.empty((len(h), _CLASSES), np.float32)
+        edge = np.searchsorted(group, np.arange(_GROUPS + 1)).tolist()
+        spans = [(g, lo, hi) for g, (lo, hi) in enumerate(zip(edge, edge[1:])) if lo < hi]
+        for g, lo, hi in spans:
+            np.matmul(h[lo:hi], self.own[g], out=q[lo:hi])
+            q[lo:hi] += self.own_bias[g]
+        for v in (p, q):
+            np.clip(v, -60, 60, out=v)
+            np.exp(v, out=v)
+            v /= v.sum(axis=1, keepdims=True)
+        return p, q, spans
+
+    def learn(self, x: np.ndarray, doc: np.ndarray, leaf: np.ndarray) -> None:
+        """One step down the gradient of -log p(leaf | both sides) over a run of words with inputs x."""
+        n = len(x)
+        e, h, sides = self._activate(x, doc)
+        order = np.argsort(leaf, kind="stable")
+        h, group, cls, at = h[order], leaf[order] >> CLASS_BITS, leaf[order] & (_CLASSES - 1), np.arange(n)
+        p, q, spans = self._softmax(h, group)
+        p[at, group] -= 1
+        q[at, cls] -= 1
+        back = p @ self.out.T
+        for g, lo, hi in spans:
+            back[lo:hi] += q[lo:hi] @ self.own[g].T
+            rate = RATE_GROUP / (hi - lo) ** 0.5
+            self.own[g] -= rate * (h[lo:hi].T @ q[lo:hi])
+            self.own_bias[g] -= 0.3 * rate * q[lo:hi].sum(axis=0)
+        back *= 1 - h * h
+        self.out -= (RATE / n) * (h.T @ p)
+        self.bias -= (RATE / n) * p.sum(axis=0)
+        self.hidden -= (RATE / n) * back.sum(axis=0)
+        by_word = np.empty_like(back)
+        by_word[order] = back
+        g_embed, g_place = np.zeros_like(e), np.zeros_like(self.place)
+        for k, a, b, same in sides:
+            g = by_word[a] * same
+            g_place[k] = (g * e[b]).sum(axis=0)
+            g *= self.place[k]
+            g_embed[b] += g
+        self.place -= (0.3 * RATE / n) * g_place
+        order = np.argsort(x, kind="stable")
+        own = x[order]
+        lead = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        rows = own[lead]
+        self.seen[rows] += np.diff(np.append(lead, n))
+        self.steps[rows] += np.add.reduceat((np.einsum("ij,ij->i", g_embed, g_embed) / WIDTH)[order], lead)
+        self.embed[rows] -= (RATE_EMBED / np.sqrt(self.steps[rows] + 1e-3))[:, None] * np.add.reduceat(g_embed[order], lead, axis=0)
+
+    def log_shares(self, x: np.ndarray, doc: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """log p(leaf | both sides) of each word; words of a document stand together."""
+        out = np.empty(len(x))
+        reach = max(map(abs, SIDES))
+        for lo in range(0, len(x), 8192):
+            hi = min(len(x), lo + 8192)
+            a, b = max(0, lo - reach), min(len(x), hi + reach)
+            _, h, _ = self._activate(x[a:b], doc[a:b])
+            h = h[lo - a : hi - a]
+            order = np.argsort(leaf[lo:hi], kind="stable")
+            own, at = leaf[lo:hi][order], np.arange(hi - lo)
+            p, q, _ = self._softmax(h[order], own >> CLASS_BITS)
+            out[lo + order] = np.log(p[at, own >> CLASS_BITS] + np.float32(1e-30)) + np.log(q[at, own & (_CLASSES - 1)] + np.float32(1e-30))
+        return out
+
+
+_PARTS = {"place": (len(SIDES), WIDTH), "hidden": (WIDTH,), "out": (WIDTH, _GROUPS), "bias": (_GROUPS,), "own": (_GROUPS, WIDTH, _CLASSES), "own_bias": (_GROUPS, _CLASSES), "steps": (_INPUTS,), "embed": (_INPUTS, WIDTH)}
+_SHARED = sum(int(np.prod(s)) for s in list(_PARTS.values())[:-2])
+
+
+def task_step(before: Network, after: Network, n: int) -> np.ndarray:
+    """What a task sends: its step, weighted by its words, and for embeddings by how often it saw each; the weights follow."""
+    d = after.flat() - before.flat()
+    d[:_SHARED] *= n
+    d[_SHARED : _SHARED + _INPUTS] *= after.seen
+    d[_SHARED + _INPUTS :] *= np.repeat(after.seen, WIDTH)
+    return np.concatenate((d, after.seen, np.array([n], np.float32)))
+
+
+@dataclass
+class Averaged:
+    """The parameters between rounds, and the momentum of what moves them."""
+
+    net: Network
+    speed: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
+
+    def take(self, total: np.ndarray) -> Averaged:
+        """After the round whose task_step()s have this sum."""
+        d, seen, n = total[: -_INPUTS - 1].copy(), total[-_INPUTS - 1 : -1], total[-1]
+        d[:_SHARED] /= n
+        d[_SHARED : _SHARED + _INPUTS] /= np.maximum(seen, 1)
+        d[_SHARED + _INPUTS :] /= np.repeat(np.maximum(seen, 1), WIDTH)
+        speed = MOMENTUM * self.speed + d
+        moved = d + MOMENTUM * speed
+        moved[_SHARED : _SHARED + _INPUTS] = d[_SHARED : _SHARED + _INPUTS]  # sums of squares have no momentum
+        return Averaged(Network.of_flat(self.net.flat() + moved), speed)
+
+
+def fit(h: np.ndarray, doc: np.ndarray, net: Network) -> int:
+    """Descent over a row's words in their order, a batch a step; the number of words."""
+    x, leaf = input_of(h), leaf_of(h)
+    for lo in range(0, len(h), BATCH):
+        net.learn(x[lo : lo + BATCH], doc[lo : lo + BATCH], leaf[lo : lo + BATCH])
+    return len(h)
+
+
+_TABLE = "row long, ids binary, sizes binary, vocabulary binary, counts binary, tokens binary, round int"
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """Numbers below 2**32 with their lowest bytes first, then the next, so that they compress well."""
+    return np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
+def word_table(docs: DataFrame) -> DataFrame:
+    """docs as rows of some million characters, in the shared folder: the ids of documents (the least number for a null) and their
+    numbers of words (-1 for a null text), the row's vocabulary (hashes in order) with its counts, and the words as indices into it.
+
+    Each text is split once; rounds are folders of the table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
-        for _, chunk in chunks(batches):
-            total += np.bincount(tokens(chunk)[0], minlength=len(total))
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 50_000].astype(np.int32)), pa.array(total[at[lo : lo + 50_000]])], ["cell", "n"])
+        part = TaskContext.get().partitionId()
+        for k, (ids, texts) in enumerate(chunks(batches, ROW_CHARS)):
+            w = words(texts, fold=True)
+            sizes = np.where([t is None for t in texts], -1, np.diff(w.first))
+            vocabulary, tokens, counts = np.unique(w.hash, return_inverse=True, return_counts=True)
+            own = [np.array([-(2**63) if i is None else i for i in ids], "<i8"), sizes.astype("<i8"), vocabulary.astype("<u8"), counts.astype("<i8")]
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), *(pa.array([v.tobytes()], pa.binary()) for v in own), pa.array([_packed(tokens)], pa.binary()), pa.array([(part + k) % ROUNDS], pa.int32())], [c.split()[0] for c in _TABLE.split(", ")])
+
+    return written(text_frame(docs).mapInArrow(run, _TABLE), "words", by="round")
 
-    rows = texts.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return out
 
+def _docs_of(sizes: bytes) -> np.ndarray:
+    n = np.maximum(np.frombuffer(sizes, "<i8"), 0)
+    return np.repeat(np.arange(len(n), dtype=np.int32), n)
 
-def shares(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(share of each class, log share of each cell within its class); one is added to every cell."""
-    by = (counts + 1).reshape(_CLASSES, -1).astype(float)
-    per = by.sum(axis=1)
-    return per / per.sum(), np.log(by / per[:, None]).ravel().astype(np.float32)
 
+def _vocabularies(table: DataFrame) -> DataFrame:
+    """(h, row, n): the words of each row of the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, v, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                h, c = np.frombuffer(v, "<i8"), np.frombuffer(n, "<i8")
+                for lo in range(0, len(h), 50_000):
+                    part = h[lo : lo + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), row)), pa.array(c[lo : lo + 50_000])], ["h", "row", "n"])
 
-def fit(texts: list[str | None], net: Network, rate: float = RATE) -> int:
-    """Descent over every word of the texts, in a fixed random order; the number of words."""
-    cells, doc = tokens(texts)
-    ctx, target = contexts(cells, doc), cells >> (CELL_BITS - CLASS_BITS)
-    order = np.random.default_rng(5).permutation(len(cells))
-    for lo in range(0, len(order), BATCH):
-        at = order[lo : lo + BATCH]
-        net.learn(ctx[at], target[at], rate * len(at) / BATCH)
-    return len(cells)
+    return table.select("row", "vocabulary", "counts").mapInArrow(run, "h long, row long, n long")
 
 
 @dataclass
 class Model:
+    """vocabulary: (h, n), how often each word occurs, one row a word of the corpus; spread: log of the counts and words of each leaf, and one for unknown words."""
+
     net: Network
-    within: np.ndarray
+    vocabulary: DataFrame
+    spread: np.ndarray
+
+
+def train_on(table: DataFrame) -> Model:
+    """The model of a word_table(). Counts by word stay distributed; one number a leaf comes to the driver."""
+    vocabulary = written(_vocabularies(table).groupBy("h").agg(F.sum("n").alias("n")), "vocabulary")
+    leaf = F.shiftrightunsigned("h", 64 - GROUP_BITS - CLASS_BITS).cast("int")
+    per = vocabulary.groupBy(leaf.alias("leaf")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    n, spread = np.zeros(_LEAVES), np.ones(_LEAVES)
+    n[per["leaf"].to_numpy()] = per["n"].to_numpy()
+    spread[per["leaf"].to_numpy()] += per["n"].to_numpy() + per["words"].to_numpy()
+    state = Averaged(Network.start(n))
+    for r in range(ROUNDS):
+        start = table.sparkSession.sparkContext.broadcast(state.net.flat())
+
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            net, n = Network.of_flat(start.value), 0
+            for b in batches:
+                for sizes, v, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    n += fit(np.frombuffer(v, "<u8")[_unpacked(tokens)], _docs_of(sizes), net)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([task_step(Network.of_flat(start.value), net, n).tobytes()], pa.binary())], ["m"])
+
+        total = tree_sum(table.filter(F.col("round") == r).select("sizes", "vocabulary", "tokens").mapInArrow(run, "m binary"), dtype=np.float32)
+        if total is not None:
+            state = state.take(total)
+        start.unpersist()
+    return Model(state.net, vocabulary, np.log(spread))
+
+
+def score_on(table: DataFrame, model: Model) -> DataFrame:
+    """score() of the documents of a word_table(): each row of it meets the counts of its vocabulary."""
+    pairs = _vocabularies(table).select("h", "row").join(model.vocabulary, "h", "left").select("row", "h", F.coalesce("n", F.lit(0)).alias("n"))
+    net, spread = model.net, model.spread
+    given = table.sparkSession.sparkContext.broadcast(net.flat())
+
+    def solve(rows: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        of = Network.of_flat(given.value)
+        for ids, sizes, v, tokens in zip(*(rows[c].to_pylist() for c in ("ids", "sizes", "vocabulary", "tokens"))):
+            h, t = np.frombuffer(v, "<u8"), _unpacked(tokens)
+            total = np.zeros(len(h))
+            total[np.searchsorted(h, known["h"].to_numpy().view(np.uint64))] = known["n"].to_numpy()
+            leaf, doc = leaf_of(h), _docs_of(sizes)
+            share = np.log(total + 1) - spread[leaf]
+            n = np.frombuffer(sizes, "<i8")
+            score = np.bincount(doc, of.log_shares(input_of(h)[t], doc, leaf[t]) + share[t], len(n)).astype(float)
+            absent, i = n < 0, np.frombuffer(ids, "<i8")
+            mean = score / np.maximum(n, 1)
+            out.append(pa.table([pa.array(i, mask=i == -(2**63)), pa.array(n, mask=absent), pa.array(score, mask=absent), pa.array(mean, mask=n < 1)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+
+    return table.groupBy("row").cogroup(pairs.groupBy("row")).applyInArrow(solve, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of all texts of docs; null and empty ones add nothing, repeated rows count each time."""
-    texts = text_frame(docs)
-    class_share, within = shares(cell_counts(texts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = Network.start(class_share), 0
-        for _, chunk in chunks(batches):
-            n += fit(chunk, net)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(net.flat().astype(float) * n, n).tobytes()], pa.binary())], ["m"])
-
-    total = tree_sum(texts.mapInArrow(run, "m binary"))
-    return Model(Network.start(class_share) if total is None else Network.of_flat(total[:-1] / total[-1]), within)
+    """The model of all texts of docs; null and empty ones add nothing, repeated rows count each time, very long ones are taken whole. Other columns are ignored."""
+    return train_on(word_table(docs))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every row.
 
-    A null text has nulls; a text without words 0, 0 and a null mean. Each repeated row is scored; other columns are ignored. No shuffle.
+    A null text has nulls; a text without words 0, 0 and a null mean. Each repeated row is scored, rows without an id too; very long
+    texts are scored whole; other columns are ignored. Words that the model hasn't seen count as one unknown word of their class.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, chunk in chunks(batches):
-            cells, doc = tokens(chunk)
-            n = np.bincount(doc, minlength=len(chunk))
-            total = model.net.log_likelihood(cells, doc, len(chunk), model.within)
-            absent = np.array([t is None for t in chunk])
-            mean = total / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64(), mask=absent), pa.array(total, mask=absent), pa.array(mean, mask=absent | (n == 0))],
-                ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
-            )
-
-    return text_frame(docs).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return score_on(word_table(docs), model)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """score() of docs under the model that train() makes of them."""
-    return score(docs, train(docs))
+    """score() of docs under the model that train() makes of them; texts are split into words once."""
+    table = word_table(docs)
+    return score_on(table, train_on(table))
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pseudo_likelihood() of all documents: a row each, with nulls for a null text and a null mean for one without words."""
     return pseudo_likelihood(spark.read.parquet(f"{sf_dir}/documents.parquet"))
