@@ -1,12 +1,12 @@
 """Near-duplicate detection: SimHash fingerprints compared around the anchors of a covering code.
 
-A fingerprint is BLOCKS blocks of 23 bits. The anchors of a block are the 4096 words
-of the binary Golay code, whose covering radius is 3 (it is perfect: each value is
-within 3 of exactly one anchor). A fingerprint goes to every anchor within 3 + 1 of
-its block. If two fingerprints differ by at most 1 bit in some block, the anchor at
-home for the first one's block (within 3) holds the second, so they are compared there;
-by the pigeonhole principle no pair within 2 * BLOCKS - 1 bits is ever missed.
-Pairs compared are near-duplicates if they differ by at most MAX_BITS in all.
+A fingerprint is BLOCKS blocks of 23 bits, to which all words of a text count, by their
+length and the root of their count. The anchors of a block are the 4096 words of the binary Golay code, whose covering
+radius is 3 (it is perfect: each value is within 3 of exactly one anchor). A fingerprint goes to
+every anchor within 3 + THRESHOLD of its block. If two fingerprints differ by at most THRESHOLD
+bits in some block, the anchor at home for the first one's block (within 3) holds the second, so
+they are compared there; by the pigeonhole principle no pair within (THRESHOLD + 1) * BLOCKS - 1
+bits is ever missed. Pairs compared are near-duplicates if they differ by at most MAX_BITS in all.
 """
 
 from __future__ import annotations
@@ -28,15 +28,18 @@ from .kernel import mix, words
 BLOCKS = 8
 BLOCK_BITS = 23
 RADIUS = 3
-#: Of the 184 bits. Copies with 4 % of their words replaced differ by about 17.
+THRESHOLD = 2
+#: Of the 184 bits. Copies with 4 % of their words replaced differ by about 13; up to 23 bits no pair is missed.
 MAX_BITS = 30
-#: Words of fewer bytes are left out of a text that has longer ones: they are the same in all texts of a language.
-LONG_WORD = 5
+#: A word's weight grows with its length up to this many bytes: short ones are the same in all texts of a language.
+FULL_WEIGHT = 8
+#: Records that a task compares at once; anchors with more are dealt to several.
+GROUP_RECORDS = 1_000_000
 #: Removed ids up to this many bytes are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 _GENERATOR = 0b110001110101
 _MASK = (1 << BLOCK_BITS) - 1
-_WIRE = np.dtype([("place", "<u2"), ("home", "u1"), ("id", "<i8"), ("f", "<u8", (3,))])
+_WIRE = np.dtype([("place", "<u2"), ("home", "u1"), ("looks", "u1"), ("id", "<i8"), ("f", "<u8", (3,))])
 
 
 def _remainder(value: int) -> int:
@@ -48,9 +51,9 @@ def _remainder(value: int) -> int:
 
 @lru_cache(maxsize=1)
 def covering() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(syndrome tables for 3 bytes, offsets by syndrome, errors, weights): the errors of weight up to RADIUS + 1."""
+    """(syndrome tables for 3 bytes, offsets by syndrome, errors, weights): the errors of weight up to RADIUS + THRESHOLD."""
     tables = np.array([[_remainder(b << (8 * k) & _MASK) for b in range(256)] for k in range(3)], np.uint32)
-    errors = [sum(1 << i for i in c) for n in range(RADIUS + 2) for c in combinations(range(BLOCK_BITS), n)]
+    errors = [sum(1 << i for i in c) for n in range(RADIUS + THRESHOLD + 1) for c in combinations(range(BLOCK_BITS), n)]
     syndrome = np.array([_remainder(e) for e in errors])
     order = np.argsort(syndrome, kind="stable")
     e = np.array(errors, np.uint32)[order]
@@ -58,7 +61,7 @@ def covering() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def near_anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into block, anchor, whether it is the one within RADIUS) for the anchors within RADIUS + 1 of each value."""
+    """(index into block, anchor, whether it is the one within RADIUS) for the anchors within RADIUS + THRESHOLD of each value."""
     tables, offset, errors, weight = covering()
     s = tables[0][block & 0xFF] ^ tables[1][block >> 8 & 0xFF] ^ tables[2][block >> 16]
     n = offset[s + 1] - offset[s]
@@ -79,24 +82,33 @@ def block_of(f: np.ndarray, k: int) -> np.ndarray:
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(indices of the texts that have words, their fingerprints as rows of three 64-bit words).
 
-    Each occurrence of a word votes with the 184 bits of its hash; a bit is set if more than half of the votes set it.
+    Each distinct word votes with the 184 bits of its hash; its weight rises with its length and the root of its
+    count. A bit is set if more than half of the weight sets it. Very long texts vote with all their words.
     """
     w = words(texts, fold=True)
     have = np.flatnonzero(np.diff(w.first))
     if not len(have):
         return have, np.empty((0, 3), np.uint64)
-    long = w.length >= LONG_WORD
-    has_long = np.zeros(len(texts), bool)
-    has_long[w.doc[long]] = True
-    use = long | ~has_long[w.doc]
-    h, doc = w.hash[use], w.doc[use]
+    key = w.hash ^ mix(w.doc.astype(np.uint64))
+    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    order = np.argsort(w.doc[first], kind="stable")
+    first, count = first[order], count[order]
+    weight = np.round(4 * (4 + np.minimum(w.length[first], FULL_WEIGHT)) * np.sqrt(count)).astype(np.uint32)
+    h, doc = w.hash[first], w.doc[first]
     lead = np.searchsorted(doc, have)
-    count = np.diff(np.append(lead, len(doc)))
+    half = np.add.reduceat(weight, lead, dtype=np.int64)
     out = np.zeros((len(have), 24), np.uint8)
     for k in range(3):
         bits = np.unpackbits(mix(h + np.uint64(k * 0x51ED2701)).view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, lead, axis=0, dtype=np.int32)
-        out[:, 8 * k : 8 * k + 8] = np.packbits(2 * votes > count[:, None], axis=1)
+        votes = np.empty((len(have), 64), np.int64)
+        step = 30_000  # words at a time, cut at texts
+        at = 0
+        while at < len(have):
+            end = max(at + 1, int(np.searchsorted(lead, lead[at] + step, "right")) - 1) if lead[at] + step < len(bits) else len(have)
+            a, z = lead[at], lead[end] if end < len(have) else len(bits)
+            votes[at:end] = np.add.reduceat(bits[a:z] * weight[a:z, None], lead[at:end] - a, axis=0, dtype=np.int64)
+            at = end
+        out[:, 8 * k : 8 * k + 8] = np.packbits(2 * votes > half[:, None], axis=1)
     f = out.view("<u8").astype(np.uint64)
     f[:, 2] &= np.uint64((1 << (BLOCKS * BLOCK_BITS - 128)) - 1)
     return have, f
@@ -121,29 +133,46 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def compare(at: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, least id connected with it) among the records of some anchors, where these differ. A pair has one at home."""
+    """(id, least id connected with it) among the records of some anchors, where these differ. A pair has one at home.
+
+    Pairs are folded into connected sets a step at a time, so memory grows with the records and not with the pairs.
+    """
     at = at[np.lexsort((at["id"], at["place"]))]
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    ids, item = np.unique(at["id"], return_inverse=True)
+    label = np.arange(len(ids))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def fold() -> None:
+        nonlocal label, size
+        a, b = (label[np.concatenate(x)] for x in zip(*held))
+        label = forest(a, b, len(ids))[label]
+        held.clear()
+        size = 0
+
     border = np.flatnonzero(np.concatenate(([True], at["place"][1:] != at["place"][:-1], [True])))
     for lo, hi in zip(border[:-1], border[1:]):
-        if hi - lo < 2:
+        home = np.flatnonzero(at["home"][lo:hi])
+        looks = np.flatnonzero(at["looks"][lo:hi])
+        if not len(home) or len(looks) < 1:
             continue
         own = at["f"][lo:hi]
         value = block_of(own, int(at["place"][lo]) >> 12)
-        home = np.flatnonzero(at["home"][lo:hi])
-        step = max(1, 2_000_000 // (hi - lo))
+        step = max(1, 2_000_000 // len(looks))
         for k in range(0, len(home), step):
             x = home[k : k + step]
-            i, j = np.nonzero(np.bitwise_count(value[x][:, None] ^ value[None, :]) <= 1)
-            i = x[i]
+            i, j = np.nonzero(np.bitwise_count(value[x][:, None] ^ value[looks][None, :]) <= THRESHOLD)
+            i, j = x[i], looks[j]
             keep = i != j
             i, j = i[keep], j[keep]
             close = distance(own[i], own[j]) <= max_bits
-            edges.append((i[close] + lo, j[close] + lo))
-    if not edges:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    ids, item = np.unique(at["id"], return_inverse=True)
-    label = forest(item[np.concatenate([a for a, _ in edges])], item[np.concatenate([b for _, b in edges])], len(ids))
+            if close.any():
+                held.append((item[i[close] + lo], item[j[close] + lo]))
+                size += len(held[-1][0])
+                if size > 4_000_000:
+                    fold()
+    if held:
+        fold()
     other = np.flatnonzero(label != np.arange(len(ids)))
     return ids[other], ids[label[other]]
 
@@ -157,31 +186,82 @@ def _fingerprint_frame(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long")
 
 
-def _to_anchors(prints: DataFrame) -> DataFrame:
-    """(anchors, block): the records that a batch sends to 32 neighbouring anchors, packed."""
+def _records(f: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What fingerprints send to anchors: all that are near look, and those at home are looked for."""
+    sets = []
+    for k in range(BLOCKS):
+        row, anchor, home = near_anchors(block_of(f, k))
+        wire = np.empty(len(row), _WIRE)
+        wire["place"], wire["home"], wire["looks"], wire["id"], wire["f"] = anchor | k << 12, home, 1, ids[row], f[row]
+        sets.append(wire)
+    return np.concatenate(sets)
+
+
+def _fingerprint_rows(b: pa.RecordBatch, size: int = 5000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for lo in range(0, len(b), size):
+        part = b.slice(lo, size)
+        yield part.column(0).to_numpy(), np.stack([part.column(k).to_numpy().view(np.uint64) for k in (1, 2, 3)], axis=1)
+
+
+def _loads(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(records at home, records) at each of the BLOCKS * 4096 anchors."""
+    places = BLOCKS << 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, near = np.zeros(places, np.int64), np.zeros(places, np.int64)
         for b in batches:
-            for lo in range(0, len(b), 10_000):
-                part = b.slice(lo, 10_000)
-                ids = part.column(0).to_numpy()
-                f = np.stack([part.column(k).to_numpy().view(np.uint64) for k in (1, 2, 3)], axis=1)
-                sets = []
+            for _, f in _fingerprint_rows(b):
                 for k in range(BLOCKS):
-                    row, anchor, home = near_anchors(block_of(f, k))
-                    wire = np.empty(len(row), _WIRE)
-                    wire["place"], wire["home"], wire["id"], wire["f"] = anchor | k << 12, home, ids[row], f[row]
-                    sets.append(wire)
-                all_of = np.concatenate(sets)
-                all_of = all_of[np.argsort(all_of["place"], kind="stable")]
-                group = all_of["place"] >> 5
-                edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+                    _, anchor, own = near_anchors(block_of(f, k))
+                    near[k << 12 : k + 1 << 12] += np.bincount(anchor, minlength=4096)
+                    home[k << 12 : k + 1 << 12] += np.bincount(anchor[own], minlength=4096)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(places, dtype=np.int32)), pa.array(home), pa.array(near)], ["place", "home", "near"])
+
+    t = prints.mapInArrow(run, "place int, home long, near long").groupBy("place").agg(F.sum("home").alias("home"), F.sum("near").alias("near")).toArrow()
+    out = np.zeros((2, places), np.int64)
+    out[0][t["place"].to_numpy()], out[1][t["place"].to_numpy()] = t["home"].to_numpy(), t["near"].to_numpy()
+    return out[0], out[1]
+
+
+def _to_anchors(prints: DataFrame, limit: int) -> DataFrame:
+    """(grp, part, block): the records that a batch sends to the anchors, packed, for groups of neighbouring anchors with `limit` records or fewer.
+
+    An anchor with more is a grid: its records at home are dealt to rows and those that look to columns, and each cell is a part.
+    """
+    home, near = _loads(prints)
+    total = np.cumsum(near)
+    group = (total - near) // max(1, limit)  # anchors one after another, a new group at each further `limit`
+    rows, columns = np.maximum(1, -(-2 * home // limit)), np.maximum(1, -(-2 * near // limit))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, f in _fingerprint_rows(b):
+                every = _records(f, ids)
+                place = every["place"]
+                split = (rows[place] > 1) | (columns[place] > 1)
+                sets = [(every[~split], np.zeros(int((~split).sum()), np.int64))]
+                if split.any():
+                    for own, across, along, mark in ((every[split & (every["home"] > 0)], columns, rows, "looks"), (every[split], rows, columns, "home")):
+                        p = own["place"]
+                        n = across[p]
+                        at = np.repeat(np.arange(len(own)), n)
+                        i = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                        mine = (mix(own["id"].view(np.uint64)) % along[p].astype(np.uint64)).astype(np.int64)[at]
+                        cell = mine * columns[p][at] + i if mark == "looks" else i * columns[p][at] + mine
+                        copies = own[at]
+                        copies[mark] = 0
+                        sets.append((copies, cell + 1))
+                wire, part = np.concatenate([w for w, _ in sets]), np.concatenate([p for _, p in sets])
+                key = group[wire["place"]]
+                order = np.lexsort((wire["place"], part, key))
+                wire, part, key = wire[order], part[order], key[order]
+                edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]), [True])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(group[edge[:-1]].astype(np.int32)), pa.array([all_of[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], pa.binary())],
-                    ["anchors", "block"],
+                    [pa.array(key[edge[:-1]]), pa.array(part[edge[:-1]]), pa.array([wire[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], pa.binary())],
+                    ["grp", "part", "block"],
                 )
 
-    return prints.mapInArrow(run, "anchors int, block binary")
+    return prints.mapInArrow(run, "grp long, part long, block binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -201,30 +281,34 @@ def components(edges: DataFrame) -> DataFrame:
         known = state
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, limit: int = GROUP_RECORDS) -> DataFrame:
     """(doc_id, kept_id): every document that is near another, but for the one kept, and the kept one's id.
 
     Near-duplicate pairs are joined to groups; the smallest doc_id of a group is kept. Words are compared
     lower-cased and without punctuation. Texts without a word (null, empty, only punctuation) have no
-    fingerprint and no copies; rows without an id are left out. Rows that repeat an id are one document.
+    fingerprint and no copies; rows without an id are left out. Rows that repeat an id are one document. Very long
+    texts are taken whole; other columns are ignored. A task compares at most some `limit` records.
     """
     prints = cut(_fingerprint_frame(text_frame(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")))
     f = ["f0", "f1", "f2"]
     # Equal fingerprints are one item, so a text with a million copies is compared once.
     items = prints.withColumn("item", F.min("doc_id").over(W.partitionBy(*f)))
     stars = cut(items.filter("doc_id <> item").select("doc_id", "item").distinct())
-    leads = prints.groupBy(*f).agg(F.min("doc_id").alias("doc_id")).select("doc_id", *f)
+    leads = cut(prints.groupBy(*f).agg(F.min("doc_id").alias("doc_id")).select("doc_id", *f))
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = compare(np.frombuffer(b"".join(pdf["block"]), _WIRE), max_bits)
         return pd.DataFrame({"a": a, "b": b})
 
-    edges = _to_anchors(leads).groupBy("anchors").applyInPandas(solve, "a long, b long")
+    edges = _to_anchors(leads, limit).groupBy("grp", "part").applyInPandas(solve, "a long, b long")
     return components(edges.unionAll(stars.select(F.col("doc_id").alias("a"), F.col("item").alias("b")))).select(F.col("v").alias("doc_id"), F.col("root").alias("kept_id"))
 
 
 def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs, with all their columns, without the documents listed by near_duplicates(); rows that repeat an id stay or go together."""
+    """docs, with all their columns, without the documents listed by near_duplicates(); rows that repeat an id stay or go together.
+
+    Rows with a null or empty text or without an id stay.
+    """
     key = fresh_name(docs, "removed")
     gone = cut(near_duplicates(docs, max_bits).select(F.col("doc_id").alias(key)).distinct())
     if gone.count() * 8 <= BROADCAST_BYTES:
@@ -233,4 +317,5 @@ def near_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents: each document that goes, with the one kept of its group."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
