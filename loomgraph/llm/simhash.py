@@ -90,25 +90,23 @@ def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not len(have):
         return have, np.empty((0, 3), np.uint64)
     key = w.hash ^ mix(w.doc.astype(np.uint64))
-    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    order = np.argsort(key)
+    lead = np.flatnonzero(np.concatenate(([True], key[order[1:]] != key[order[:-1]])))
+    first, count = order[lead], np.diff(np.append(lead, len(key)))
     order = np.argsort(w.doc[first], kind="stable")
     first, count = first[order], count[order]
-    weight = np.round(4 * (4 + np.minimum(w.length[first], FULL_WEIGHT)) * np.sqrt(count)).astype(np.uint32)
-    h, doc = w.hash[first], w.doc[first]
-    lead = np.searchsorted(doc, have)
-    half = np.add.reduceat(weight, lead, dtype=np.int64)
+    weight = np.round(4 * (4 + np.minimum(w.length[first], FULL_WEIGHT)) * np.sqrt(count))
+    h = w.hash[first]
+    edge = np.append(np.searchsorted(w.doc[first], have), len(h)).tolist()
+    half = np.add.reduceat(weight, edge[:-1]) / 2
     out = np.zeros((len(have), 24), np.uint8)
     for k in range(3):
-        bits = np.unpackbits(mix(h + np.uint64(k * 0x51ED2701)).view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.empty((len(have), 64), np.int64)
-        step = 30_000  # words at a time, cut at texts
-        at = 0
-        while at < len(have):
-            end = max(at + 1, int(np.searchsorted(lead, lead[at] + step, "right")) - 1) if lead[at] + step < len(bits) else len(have)
-            a, z = lead[at], lead[end] if end < len(have) else len(bits)
-            votes[at:end] = np.add.reduceat(bits[a:z] * weight[a:z, None], lead[at:end] - a, axis=0, dtype=np.int64)
-            at = end
-        out[:, 8 * k : 8 * k + 8] = np.packbits(2 * votes > half[:, None], axis=1)
+        bits = mix(h + np.uint64(k * 0x51ED2701)).view(np.uint8).reshape(-1, 8)
+        votes = np.empty((len(have), 64))
+        for i, (lo, hi) in enumerate(zip(edge, edge[1:])):  # whole numbers, so sums are exact in either precision
+            kind = np.float32 if half[i] < 1 << 22 else np.float64
+            votes[i] = weight[lo:hi].astype(kind) @ np.unpackbits(bits[lo:hi], axis=1).astype(kind)
+        out[:, 8 * k : 8 * k + 8] = np.packbits(votes > half[:, None], axis=1)
     f = out.view("<u8").astype(np.uint64)
     f[:, 2] &= np.uint64((1 << (BLOCKS * BLOCK_BITS - 128)) - 1)
     return have, f
