@@ -39,7 +39,9 @@ def golomb_encode(values: np.ndarray, k: int) -> bytes:
     ends = np.cumsum((gaps >> k) + 1) - 1
     unary = np.zeros(int(ends[-1]) + 1 if n else 0, np.uint8)
     unary[ends] = 1
-    rest = ((gaps[:, None] >> np.arange(k - 1, -1, -1)) & 1).astype(np.uint8)
+    rest = np.empty((n, k), np.uint8)
+    for bit in range(k):
+        rest[:, bit] = (gaps >> (k - 1 - bit)) & 1
     head = np.array([n, len(unary)], "<u8").tobytes() + bytes([k])
     return head + np.packbits(unary).tobytes() + np.packbits(rest.ravel()).tobytes()
 
@@ -49,8 +51,11 @@ def golomb_decode(block: bytes) -> np.ndarray:
     k, width = block[16], (bits + 7) // 8
     unary = np.unpackbits(np.frombuffer(block, np.uint8, width, 17), count=bits)
     quotients = np.diff(np.flatnonzero(unary), prepend=-1) - 1
-    rest = np.unpackbits(np.frombuffer(block, np.uint8, offset=17 + width), count=n * k).reshape(n, k).astype(np.int64)
-    return np.cumsum((quotients << k) + rest @ (np.int64(1) << np.arange(k - 1, -1, -1, dtype=np.int64)))
+    rest = np.unpackbits(np.frombuffer(block, np.uint8, offset=17 + width), count=n * k).reshape(n, k)
+    value = quotients.astype(np.int64)
+    for bit in range(k):
+        value = value << 1 | rest[:, bit]
+    return np.cumsum(value)
 
 
 def duplicate_bits(blocks: list[np.ndarray]) -> list[np.ndarray]:
@@ -111,42 +116,63 @@ def with_suspicion(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str,
     return docs.withColumn(f, fingerprint(text)).join(found, f, "left"), f, flag
 
 
+def _groups(suspect: DataFrame, f: str) -> tuple[DataFrame, DataFrame]:
+    """(f, kept, n) of the fingerprints whose texts are all the same, and (f, text, kept, n) of the texts that share one with another text.
+
+    Bytes are compared by the least and the greatest text of a fingerprint, which are combined before the shuffle, so a text
+    with however many copies is sent once a partition and no task holds a list of them. kept is the least id (null if all are).
+    """
+    kept, n = F.min("doc_id").alias("kept"), F.count("*").alias("n")
+    by = cut(suspect.groupBy(f).agg(F.min("text").alias("low"), F.max("text").alias("high"), kept, n).select(f, "kept", "n", (F.col("low") == F.col("high")).alias("one")))
+    odd = suspect.join(_small(by.filter("NOT one").select(f)), f)
+    return by.filter("one").select(f, "kept", "n"), odd.groupBy(f, "text").agg(kept, n)
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """keys, for broadcast if counting them shows that they are few; else adaptive execution parts what is hot in the join."""
+    return F.broadcast(keys) if keys.count() * 32 <= BROADCAST_BYTES else keys
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_id): every row whose text another row holds too, but for the row kept, and the kept row's id.
 
     The row with the smallest doc_id is kept (null ids come after all others). Texts are compared byte by
     byte, without normalisation. Null texts are no copies of each other; empty ones are. Of repeated rows
-    (same id and text) all but one are listed, with kept_id equal to doc_id where the id itself is kept.
+    (same id and text) all but one are listed, with kept_id equal to doc_id where the id itself is kept. Very long
+    texts are compared whole; other columns are ignored.
     """
     flagged, f, flag = with_suspicion(text_frame(docs))
-    groups = (
-        flagged.filter(F.col(flag))
-        .groupBy(f, "text")  # hash first: comparison of long texts is left to true candidates
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id"))).alias("ids"))
-        .filter(F.size("ids") > 1)
-        .select(F.col("ids")[0]["doc_id"].alias("kept_id"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("id"))
-    )
-    return groups.select(F.col("id.doc_id").alias("doc_id"), "kept_id")
+    suspect = flagged.filter(F.col(flag)).select("doc_id", "text", f)
+    same, odd = _groups(suspect, f)
+    of_same = suspect.select("doc_id", f).join(_small(same.filter("n > 1")), f).select("doc_id", "kept", f, F.lit(None).cast("string").alias("text"))
+    of_odd = suspect.join(odd.filter("n > 1"), [f, "text"]).select("doc_id", "kept", f, "text")
+    rows = of_same.unionAll(of_odd)
+    is_kept = F.col("doc_id").eqNullSafe(F.col("kept"))
+    again = rows.filter(is_kept).groupBy(f, "text").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1")
+    again = again.select(F.col("kept").alias("doc_id"), "kept", F.explode(F.sequence(F.lit(2), "n"))).select("doc_id", "kept")
+    return rows.filter(~is_kept).select("doc_id", "kept").unionAll(again).withColumnRenamed("kept", "kept_id")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs, with all their columns, without the rows that repeat another row's text.
 
-    Which row stays: see exact_duplicates(). Rows with a null text stay.
+    Which row stays: see exact_duplicates(); of rows with the same id and text the one that is first as JSON.
+    Rows with a null text stay, one of the empty ones does.
     """
     flagged, f, flag = with_suspicion(docs)
     names = docs.columns
-    row = fresh_name(docs, "row")
-    first = (
-        flagged.filter(F.col(flag))
-        .groupBy(f, F.col("text").alias(fresh_name(docs, "text")))
-        .agg(F.min_by(F.struct(*map(quoted, names)), F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias(row))
-        .select(f"{row}.*")
-    )
+    row, kept = fresh_name(docs, "row"), fresh_name(docs, "kept")
+    same, odd = _groups(flagged.filter(F.col(flag)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), f), f)
+    every = F.struct(*map(quoted, names))
+    suspect = flagged.filter(F.col(flag)).select(f, every.alias(row), F.to_json(every).alias(kept), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = lambda rows: rows.filter(F.col("doc_id").eqNullSafe(F.col("kept"))).select(f, "text", row, F.col(kept).alias("order"))
+    stays = own(suspect.join(_small(same), f)).unionAll(own(suspect.join(odd, [f, "text"])))
+    first = stays.groupBy(f, "text").agg(F.min_by(row, "order").alias(row)).select(f"{row}.*")
     return flagged.filter(F.col(flag).isNull()).select(*map(quoted, names)).unionAll(first)
 
 
 def op5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_duplicates() of all documents; those with a null text or a text of their own have no row."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -48,6 +48,20 @@ def test_awkward_rows(spark):
     assert [row[c] for c in EXTRA] == [c if k % 2 else None for k, c in enumerate(EXTRA)]
 
 
+def test_repeated_rows_of_the_kept_document(spark):
+    """Rows with the id that is kept are listed but for one, and of those that differ elsewhere the first as JSON stays."""
+    rows = [(1, "same", "b"), (1, "same", "a"), (2, "same", "c"), (None, "same", "d"), (3, "own", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    assert sorted(map(tuple, exact.exact_duplicates(docs).collect()), key=str) == [(1, 1), (2, 1), (None, 1)]
+    assert sorted(map(tuple, exact.exact_dedup(docs).collect())) == [(1, "same", "a"), (3, "own", None)]
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    long = prose(3, 60_000)
+    rows = [(1, long), (2, long + "!"), (3, long)]
+    assert [tuple(r) for r in exact.exact_duplicates(frame(spark, rows)).collect()] == [(3, 1)]
+
+
 def test_thousands_of_copies(spark):
     rows = [(k, "the same text") for k in range(3000)] + [(5000, "another")]
     assert ids(exact.exact_dedup(frame(spark, rows))) == [0, 5000]
