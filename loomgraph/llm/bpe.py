@@ -25,6 +25,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words whose encodings a worker keeps between batches; when there are more it begins anew (results are the same).
 KEPT_WORDS = 600_000
+#: Vocabulary files are broadcast up to this size.
+MOST_BYTES = 32 << 20
 
 
 class Vocabulary:
@@ -146,67 +148,101 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=4)
+def parsed(content: bytes) -> Vocabulary:
+    return Vocabulary({base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line.strip())})
+
+
 def load(path: str) -> Vocabulary:
+    return parsed(content_of(path))
+
+
+def content_of(path: str) -> bytes:
+    """The vocabulary file, read by the driver; tasks get it by broadcast, so a path need not exist on executors."""
     with open(path, "rb") as f:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
+        content = f.read(MOST_BYTES + 1)
+    if len(content) > MOST_BYTES:
+        raise ValueError(f"a vocabulary of more than {MOST_BYTES} bytes: {path}")
+    return content
 
 
-_words: dict[str, dict[str, bytes]] = {}
+@lru_cache(maxsize=4)
+def _kept_words(content: bytes) -> tuple[dict[str, bytes], set[str]]:
+    """The encodings that this worker has made with a vocabulary, and the words that these don't decode to."""
+    return {}, set()
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray | None]:
-    """Token ids of each text; null for a null text, none for an empty one."""
+def encode_texts(texts: list[str | None], content: bytes) -> list[tuple[np.ndarray, bool] | None]:
+    """(token ids, whether they decode to the text) of each text; None for a null text, no ids for an empty one.
+
+    No token crosses a word's border, so ids decode to the text if each distinct word's do and the words make up the text.
+    """
     split = regex.compile(PATTERN)
-    kept = _words.setdefault(path, {})
+    kept, lossy = _kept_words(content)
     if len(kept) > KEPT_WORDS:
         kept.clear()
+        lossy.clear()
     pieces = [None if t is None else split.findall(t) for t in texts]
     new = {w for p in pieces if p for w in p} - kept.keys()
     if new:
+        vocabulary = parsed(content)
         by_bytes = {w.encode("utf-8", "surrogatepass"): w for w in new}
-        for b, ids in load(path).encode_words(list(by_bytes)).items():
+        for b, ids in vocabulary.encode_words(list(by_bytes)).items():
             kept[by_bytes[b]] = np.array(ids, np.int32).tobytes()
-    return [None if p is None else np.frombuffer(b"".join(map(kept.__getitem__, p)), np.int32) for p in pieces]
+            if b"".join(map(vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace") != by_bytes[b]:
+                lossy.add(by_bytes[b])
+    out: list[tuple[np.ndarray, bool] | None] = []
+    for p, t in zip(pieces, texts):
+        out.append(None if p is None else (np.frombuffer(b"".join(map(kept.__getitem__, p)), np.int32), "".join(p) == t and (not lossy or lossy.isdisjoint(p))))
+    return out
 
 
-def decode_ids(ids: np.ndarray | None, path: str) -> str | None:
-    """The text of these ids. Bytes that aren't UTF-8 become U+FFFD; an id outside the vocabulary is an error."""
-    if ids is None:
-        return None
-    return b"".join(map(load(path).bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+def decode_ids(ids: list[int | None], vocabulary: Vocabulary) -> tuple[str | None, str | None]:
+    """(text, None), or (None, what is wrong) if an id is null or outside the vocabulary. Bytes that aren't UTF-8 become U+FFFD."""
+    parts = [vocabulary.bytes_of.get(i) for i in ids]
+    if None in parts:
+        at = parts.index(None)
+        return None, f"no token {ids[at]} at {at}"
+    return b"".join(parts).decode("utf-8", "replace"), None
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, tokens ARRAY<INT>, n_tokens, decodes): decodes tells whether decoding the ids gives the text back.
 
     A null text has null tokens, count and flag; an empty one has an empty array. Rows are kept as
-    they are, repeated ones too; other columns are ignored. Needs no shuffle.
+    they are, repeated ones and those without an id too; very long texts are encoded whole; other columns are ignored. Needs no shuffle.
     """
+    given = docs.sparkSession.sparkContext.broadcast(content_of(vocabulary))  # its size is checked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
-            codes = encode_texts(texts, vocabulary)
-            lengths = np.array([0 if c is None else len(c) for c in codes], np.int64)
+            codes = encode_texts(texts, given.value)
+            lengths = np.array([0 if c is None else len(c[0]) for c in codes], np.int64)
             offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-            flat = np.concatenate([c for c in codes if c is not None] or [np.empty(0, np.int32)])
+            flat = np.concatenate([c[0] for c in codes if c is not None] or [np.empty(0, np.int32)])
             absent = np.array([c is None for c in codes])
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(absent))
-            same = [None if t is None else decode_ids(c, vocabulary) == t for c, t in zip(codes, texts)]
+            same = [None if c is None else c[1] for c in codes]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), tokens, pa.array(lengths, mask=absent), pa.array(same, pa.bool_())], ["doc_id", "tokens", "n_tokens", "decodes"])
 
     return text_frame(docs).mapInArrow(run, "doc_id long, tokens array<int>, n_tokens long, decodes boolean")
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, text) of (doc_id, tokens); null tokens give a null text."""
+    """(doc_id, text, error) of (doc_id, tokens).
+
+    Null tokens give a null text without an error; a null among the ids or one outside the vocabulary a null text and what is
+    wrong. No ids give an empty text. Repeated rows are decoded each; other columns are ignored.
+    """
+    given = encoded.sparkSession.sparkContext.broadcast(content_of(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t is None else decode_ids(np.array(t, np.int64), vocabulary) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            out = [(None, None) if t is None else decode_ids(t, parsed(given.value)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([e for _, e in out], pa.string())], ["doc_id", "text", "error"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "doc_id long, text string, error string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bpe_encode() of all documents by the default vocabulary: a row each, null texts with nulls."""
     return bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

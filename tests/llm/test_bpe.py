@@ -22,9 +22,10 @@ def reference():
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_encodes_as_the_library_does_and_decodes(reference, text):
-    got = bpe.encode_texts([text], bpe.DEFAULT_VOCABULARY)[0]
-    assert got.tolist() == reference.encode_ordinary(text)
-    assert bpe.decode_ids(got, bpe.DEFAULT_VOCABULARY) == text
+    content = bpe.content_of(bpe.DEFAULT_VOCABULARY)
+    got, decodes = bpe.encode_texts([text], content)[0]
+    assert got.tolist() == reference.encode_ordinary(text) and decodes
+    assert bpe.decode_ids(got.tolist(), bpe.parsed(content)) == (text, None)
 
 
 def test_documents_agree_with_the_library(spark, small, reference):
@@ -59,3 +60,16 @@ def test_round_trip_through_frames(spark):
     docs = frame(spark, [(1, prose(4)), (2, None), (3, "")])
     back = {r.doc_id: r.text for r in bpe.bpe_decode(bpe.bpe_encode(docs)).collect()}
     assert back == {1: prose(4), 2: None, 3: ""}
+
+
+def test_ids_that_are_no_tokens_are_told(spark):
+    rows = [(1, [10, None, 11]), (2, [10, 99_999_999]), (3, [-1]), (4, None), (5, []), (5, []), (None, [10])]
+    got = sorted(map(tuple, bpe.bpe_decode(spark.createDataFrame(rows, "doc_id long, tokens array<int>")).collect()), key=str)
+    ten = bpe.load(bpe.DEFAULT_VOCABULARY).bytes_of[10].decode()
+    assert got == sorted([(1, None, "no token None at 1"), (2, None, "no token 99999999 at 1"), (3, None, "no token -1 at 0"), (4, None, None), (5, "", None), (5, "", None), (None, ten, None)], key=str)
+
+
+def test_a_very_long_text(spark, reference):
+    text = prose(9, 150_000) + " " + "x" * 50_000
+    row = bpe.bpe_encode(frame(spark, [(1, text)])).first()
+    assert row.decodes and row.tokens == reference.encode_ordinary(text)
