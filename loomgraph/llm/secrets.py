@@ -45,15 +45,17 @@ ALLOW = (
     r"(?i)example|placeholder|changeme|your[_-]?(?:api|key|token)|x{6,}|^(.)\1+$|0123456789|123456789012",
     r"(?i)^(?:https?|ftp|www)|^[a-z]+(?:[-_/][a-z]+)*[-_/]?\d{0,4}$|^\d{4}-\d\d-\d\d",
 )
-ALLOW_BEFORE = r"(?i)(?:\bsha(?:1|256|384|512)[-:=]|\bmd5[-:=]|\bcommit |\bintegrity=\"?|://[^\s\"'<>`{}|\\^?#;&]*|\b(?:https?|ftps?|ssh|git|s3|file):)$"
+ALLOW_BEFORE = r"(?i)(?:\bsha(?:1|256|384|512)[-:=]|\bmd5[-:=]|\bcommit |\bintegrity=\"?|\b(?:https?|ftps?|ssh|git|s3|file):)$"
+#: What ends a URL, and what ends its path.
+URL_END, PATH_END = r"[\s\"'<>`{}|\\^]", r"[?#;&]"
 #: What stands before a candidate in the part of a URL that may hold user and password, with what comes after it if it does.
 IN_AUTHORITY = r"(?i)\b[a-z][a-z0-9+.-]*:(?P<slashes>//)?(?(slashes)[^\s\"'<>/?#@]*)$"
 BEFORE_HOST = r"[^\s\"'<>/?#@]*@"
 #: Hosts and first path parts behind which a URL's path is itself the credential.
 WEBHOOK = r"(?i)(?:hooks\.slack(?:-gov)?\.com/(?:services|workflows|triggers)/|discord(?:app)?\.com/api/(?:v\d+/)?webhooks/|\.webhook\.office\.com/webhookb2/|outlook\.office\.com/webhook/|hooks\.zapier\.com/hooks/|api\.telegram\.org/(?:file/)?bot)"
 MASK = "[SECRET]"
-#: Characters before a candidate in which ALLOW_BEFORE is sought; URLs longer than this count from here.
-CONTEXT = 200
+#: Characters before a candidate in which ALLOW_BEFORE, whose words are shorter, and a URL's scheme are sought. URLs may be of any length.
+NEAR = 60
 
 
 def window_entropy(s: str, window: int) -> float:
@@ -83,6 +85,7 @@ class Scanner:
         self.classes = [(c, regex.compile(c.pattern), regex.compile(c.needs, regex.S)) for c in classes]
         self.allow = [regex.compile(a) for a in allow]
         self.before = regex.compile(ALLOW_BEFORE)
+        self.url_end, self.path_end = regex.compile(URL_END), regex.compile(PATH_END)
         self.authority, self.host, self.webhook = regex.compile(IN_AUTHORITY), regex.compile(BEFORE_HOST), regex.compile(WEBHOOK)
         self.allowed = frozenset(allowed)
 
@@ -91,17 +94,22 @@ class Scanner:
         out: list[tuple[int, int, str, float]] = []
         taken: set[int] = set()
         for c, pattern, needs in self.classes:
+            begin, ends, end = 0, self.url_end.finditer(text), None  # begin: after the last character before a candidate that ends URLs
             for m in pattern.finditer(text):
                 start, s = m.start(), m.group()
                 if start in taken or not needs.match(s):
                     continue
-                before = text[max(0, start - CONTEXT) : start]
-                url = self._in_url(before, s, text, m.end()) if before.endswith(":") or "://" in before else None
+                while (end := end or next(ends, None)) and end.start() < start:
+                    begin, end = end.end(), None
+                before, scheme = text[max(0, start - NEAR) : start], text.rfind("://", begin, start)
+                in_path = scheme >= 0 and not self.path_end.search(text, scheme + 3, start)
+                around = text[max(begin, scheme - NEAR) : start] if scheme >= 0 else before
+                url = self._in_url(around, s, text, m.end()) if scheme >= 0 or before.endswith(":") else None
                 if url is not None:
                     start, s = start + url, s[url:]
                 by = next((k for k, p, n in self.classes if p.fullmatch(s) and n.match(s)), c) if url else c
                 taken.add(m.start())
-                if len(s) < by.least or s in self.allowed or any(a.search(s) for a in self.allow) or url is None and self.before.search(before):
+                if len(s) < by.least or s in self.allowed or any(a.search(s) for a in self.allow) or url is None and (in_path or self.before.search(before)):
                     continue
                 h = window_entropy(s, by.window)
                 if h >= by.threshold:
@@ -127,7 +135,7 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, start, end, kind, entropy): code points of each secret, end exclusive.
 
     `allowed` are strings that are no secrets besides ALLOW. Null and empty texts have none; each repeated row
-    is scanned; other columns are ignored. No shuffle.
+    is scanned, rows without an id too; very long texts are scanned whole; other columns are ignored. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +151,7 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
 def redact_secrets(docs: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     """docs with every secret in text replaced by MASK; n_chars, if there is such a column, is the new text's length where text changed.
 
-    No row is dropped; null texts stay null.
+    No row is dropped; null and empty texts stay as they are; each repeated row is cleaned; very long texts are scanned whole.
     """
 
     @F.pandas_udf("string")
@@ -171,4 +179,5 @@ def redact_secrets(docs: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_secrets() of all documents: a row a secret; null and empty texts have none."""
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
