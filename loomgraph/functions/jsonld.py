@@ -149,11 +149,15 @@ def root_string(v: Column, key: str) -> Column:
 
 def structural_error(text: Column) -> Column:
     """[SRC4, FLT1] what keeps a JSON text from being a document: not_json, not_object, no_context, no_type; null if nothing does."""
-    v = F.try_parse_json(text)
-    keys = F.json_object_keys(text)
+    return structural_error_of(F.try_parse_json(text), text)
+
+
+def structural_error_of(v: Column, text: Column) -> Column:
+    """structural_error() of a text that is parsed already."""
     context = F.try_variant_get(v, "$['@context']", "variant")
     graph = F.try_variant_get(v, "$['@graph']", "array<variant>")
-    typed = F.when(graph.isNotNull(), F.size(graph) > 0).otherwise(F.array_contains(keys, "@type"))
+    kind = F.try_variant_get(v, "$['@type']", "variant")
+    typed = F.when(graph.isNotNull(), F.size(graph) > 0).otherwise(kind.isNotNull())
     return (
         F.when(v.isNull(), "not_json")
         .when(~F.schema_of_variant(v).startswith("OBJECT"), "not_object")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonld as J
@@ -14,6 +14,8 @@ RULE_SCHEMA = "rule string, entity_type string, required array<string>, severity
 BUILT_IN = [(f"{t} needs a name", t, ["name"], "error") for t in ("Event", "Organization", "Person", "Place")]
 DATE_FIELDS = ("dateCreated", "datePublished", "deathDate", "birthDate")
 IMPACT = {"structure": -0.5, "missing": -0.2, "ask": -0.15, "date": -0.05, "url": -0.1}
+#: Rules become part of the plan, so there may not be any number of them.
+MOST_RULES = 1000
 VIOLATION = ("doc_id", "rule", "property", "severity", "confidence_impact")
 
 
@@ -30,30 +32,44 @@ def rule_frame(spark: SparkSession, extra: list[tuple[str, str | None, list[str]
     return spark.createDataFrame([*(BUILT_IN if built_in else ()), *extra], RULE_SCHEMA)
 
 
-def violations(docs: DataFrame, rules: DataFrame, settings: Settings = Settings(), text: str = "jsonld") -> DataFrame:
-    """(doc_id, rule, property, severity, confidence_impact) of documents (doc_id, text) [DOM18, JOIN10, JOIN11].
+def _present(v: Column, name: str) -> Column:
+    field = F.try_variant_get(v, f"$['{name}']", "variant")
+    return field.isNotNull() & ~F.is_variant_null(field)
 
-    A document with a broken structure has that one violation. Rules look at the root. Rules are few and
-    are broadcast; the work on a document needs no shuffle.
-    """
-    v = F.col("v")
-    rows = docs.select("doc_id", F.try_parse_json(text).alias("v"), J.structural_error(F.col(text)).alias("broken"), F.json_object_keys(text).alias("keys"))
-    broken = rows.filter("broken IS NOT NULL").select("doc_id", F.lit("structure").alias("rule"), F.col("broken").alias("property"), F.lit("error").alias("severity"), F.lit(IMPACT["structure"]).alias("confidence_impact"))
-    whole = rows.filter("broken IS NULL")
-    present = F.filter("keys", lambda k: ~F.coalesce(F.is_variant_null(F.try_variant_get(v, F.concat(F.lit("$['"), k, F.lit("']")), "variant")), F.lit(False)))
-    typed = whole.select("doc_id", J.root_string(v, "@type").alias("type"), present.alias("present"))
-    applied = typed.join(F.broadcast(rules), F.col("entity_type").isNull() | (F.col("entity_type") == F.col("type")))
-    missing = applied.select("doc_id", "rule", "severity", F.explode(F.array_except("required", "present")).alias("property"))
-    missing = missing.select("doc_id", "rule", "property", "severity", F.lit(IMPACT["missing"]).alias("confidence_impact"))
-    # One pass over the fields for what is checked by form.
-    form = lambda name, value, ok, kind: F.when(value.isNotNull() & ~ok, F.struct(F.lit(f"{kind} form").alias("rule"), F.lit(name).alias("property"), F.lit("warning").alias("severity"), F.lit(IMPACT[kind]).alias("confidence_impact")))
+
+def _found(v: Column, text: Column, rules: list, settings: Settings) -> Column:
+    """An array of (rule, property, severity, confidence_impact): all that is wrong with a document, of which v is the parsed form."""
+    one = lambda rule, prop, severity, impact: F.struct(F.lit(rule).alias("rule"), (prop if isinstance(prop, Column) else F.lit(prop)).alias("property"), F.lit(severity).alias("severity"), F.lit(impact).alias("confidence_impact"))
+    broken, kind = J.structural_error_of(v, text), J.root_string(v, "@type")
     dated = T.is_iso_date if settings.strict_dates else T.is_date_shaped
     raw = lambda name: F.try_variant_get(v, f"$['{name}']", "string")
     is_text = lambda name: F.coalesce(J.root_string(v, name).isNotNull(), F.lit(False))
-    checks = [form(d, raw(d), is_text(d) & F.coalesce(dated(raw(d)), F.lit(False)), "date") for d in DATE_FIELDS]
-    checks.append(form("@id", J.root_string(v, "@id"), T.is_url(J.root_string(v, "@id")), "url"))
-    formal = whole.select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("x")).select("doc_id", "x.*")
-    return broken.unionByName(missing).unionByName(formal)
+    checks = []
+    for r in rules:
+        applies = F.lit(True) if r["entity_type"] is None else kind == r["entity_type"]
+        checks += [F.when(applies & ~_present(v, name), one(r["rule"], name, r["severity"], IMPACT["missing"])) for name in dict.fromkeys(r["required"] or ())]
+    checks += [F.when(raw(d).isNotNull() & ~(is_text(d) & F.coalesce(dated(raw(d)), F.lit(False))), one("date form", d, "warning", IMPACT["date"])) for d in DATE_FIELDS]
+    own = J.root_string(v, "@id")
+    checks.append(F.when(own.isNotNull() & ~T.is_url(own), one("url form", "@id", "warning", IMPACT["url"])))
+    return F.when(broken.isNotNull(), F.array(one("structure", broken, "error", IMPACT["structure"]))).otherwise(F.array_compact(F.array(*checks)))
+
+
+def _judged(docs: DataFrame, rules: DataFrame, settings: Settings, text: str) -> DataFrame:
+    """(doc_id, found): one scan, one parse and no join; a rule is part of the expression."""
+    given = rules.limit(MOST_RULES + 1).collect()
+    if len(given) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    parsed = docs.select("doc_id", F.col(text).alias("text"), F.try_parse_json(text).alias("v"))
+    return parsed.select("doc_id", _found(F.col("v"), F.col("text"), given, settings).alias("found"))
+
+
+def violations(docs: DataFrame, rules: DataFrame, settings: Settings = Settings(), text: str = "jsonld") -> DataFrame:
+    """(doc_id, rule, property, severity, confidence_impact) of documents (doc_id, text) [DOM18, JOIN10, JOIN11].
+
+    A document with a broken structure has that one violation. Rules look at the root. There may be MOST_RULES of them.
+    """
+    # Before a plain explode the optimizer puts a filter on the array's size, for which all of it would be worked out twice.
+    return _judged(docs, rules, settings, text).select("doc_id", F.explode_outer("found").alias("x")).filter("x IS NOT NULL").select("doc_id", "x.*")
 
 
 def ask_violations(answers: DataFrame, rule: str) -> DataFrame:
@@ -74,11 +90,22 @@ def direction_violations(triples: DataFrame, types: DataFrame, domain: dict[str,
     return wrong.select("doc_id", F.lit("direction").alias("rule"), F.col("p").alias("property"), F.lit("warning").alias("severity"), F.lit(IMPACT["date"]).alias("confidence_impact"))
 
 
+def _verdict(impact: Column, n_errors: Column, n_warnings: Column, settings: Settings) -> list[Column]:
+    confidence = F.round(T.clamp(F.lit(1.0) + F.coalesce(impact, F.lit(0.0))), 6)
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return [((whole(n_errors) == 0) & (confidence >= settings.min_confidence)).alias("valid"), confidence.alias("confidence"), whole(n_errors).alias("n_errors"), whole(n_warnings).alias("n_warnings")]
+
+
+def validate(docs: DataFrame, rules: DataFrame, settings: Settings = Settings(), text: str = "jsonld") -> DataFrame:
+    """(doc_id, valid, confidence, n_errors, n_warnings) of every row of docs [DOM18]: violations() and verdicts() in one narrow pass."""
+    rows = _judged(docs, rules, settings, text)
+    impact = F.aggregate("found", F.lit(0.0), lambda n, x: n + x["confidence_impact"])
+    n = lambda severity: F.size(F.filter("found", lambda x: x["severity"] == severity))
+    return rows.select("doc_id", *_verdict(impact, n("error"), n("warning"), settings))
+
+
 def verdicts(docs: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, valid, confidence, n_errors, n_warnings) of every document [AGG13, AGG14, AGG15, FLT20, FLT21]."""
+    """(doc_id, valid, confidence, n_errors, n_warnings) of every document, for violations from wherever [AGG13, AGG14, AGG15, FLT20, FLT21]."""
     g = found.groupBy("doc_id").agg(F.sum("confidence_impact").alias("impact"), F.count_if(F.col("severity") == "error").alias("n_errors"), F.count_if(F.col("severity") == "warning").alias("n_warnings"))
     rows = docs.select("doc_id").join(g, "doc_id", "left")
-    confidence = F.round(T.clamp(F.lit(1.0) + F.coalesce("impact", F.lit(0.0))), 6)
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    rows = rows.select("doc_id", confidence.alias("confidence"), zero("n_errors"), zero("n_warnings"))
-    return rows.select("doc_id", ((F.col("n_errors") == 0) & (F.col("confidence") >= settings.min_confidence)).alias("valid"), "confidence", "n_errors", "n_warnings")
+    return rows.select("doc_id", *_verdict(F.col("impact"), F.col("n_errors"), F.col("n_warnings"), settings))

@@ -287,8 +287,7 @@ def validate_violations(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, n_errors = 0 AND confidence >= 0.7 AS valid, confidence, n_errors, n_warnings FROM g"""
 )
 def validate_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    docs = order_documents(spark, d)
-    return V.verdicts(docs, V.violations(docs, V.rule_frame(spark)))
+    return V.validate(order_documents(spark, d), V.rule_frame(spark))
 
 
 # -- SPARQL -----------------------------------------------------------------------------------
