@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,20 +97,22 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tree_sum(vectors: DataFrame, fan_in: int = 16, dtype: type = np.float64) -> np.ndarray | None:
-    """The sum of (m BINARY) rows of numbers, of which each partition has at most one; None if there are none.
+def tree_sum(vectors: DataFrame, fan_in: int = 16, dtype: type = np.float64, read: Callable[[bytes], np.ndarray] | None = None) -> np.ndarray | None:
+    """The sum of (m BINARY) rows of numbers, of which each partition has at most one; None if there are none. read: makes the numbers of a row.
 
-    Levels of at most `fan_in` rows a group are added up until that many remain, so no task and not the driver
-    holds more of them, whatever the number of partitions.
+    Levels of at most `fan_in` rows a group are added up until one remains, so no task holds more of them and the
+    driver one, whatever the number of partitions.
     """
+    plain = lambda m: np.frombuffer(m, dtype)
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [key[0]], "m": [sum(np.frombuffer(m, dtype) for m in pdf.sort_values("from")["m"]).tobytes()]})
+    def adding(of: Callable[[bytes], np.ndarray]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        return lambda key, pdf: pd.DataFrame({"g": [key[0]], "m": [sum(of(m) for m in pdf.sort_values("from")["m"]).tobytes()]})
 
+    of = read or plain
     left = vectors.rdd.getNumPartitions()
     level = vectors.withColumn("g", F.spark_partition_id())
-    while left > fan_in:
-        level = level.withColumn("from", F.col("g")).withColumn("g", F.expr(f"int(g DIV {fan_in})")).groupBy("g").applyInPandas(add, "g int, m binary")
-        left = -(-left // fan_in)
+    while left > 1:
+        level = level.withColumn("from", F.col("g")).withColumn("g", F.expr(f"int(g DIV {fan_in})")).groupBy("g").applyInPandas(adding(of), "g int, m binary")
+        left, of = -(-left // fan_in), plain
     rows = sorted((r["g"], bytes(r["m"])) for r in level.select("g", "m").collect())
-    return sum(np.frombuffer(m, dtype) for _, m in rows) if rows else None
+    return sum(of(m) for _, m in rows) if rows else None

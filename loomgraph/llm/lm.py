@@ -27,15 +27,15 @@ from .common import chunks, text_frame, tree_sum, written
 from .kernel import mix, words
 
 GROUP_BITS, CLASS_BITS, INPUT_BITS = 6, 6, 15
-WIDTH = 32
+WIDTH = 24
 SIDES = (-2, -1, 1, 2)
-ROUNDS = 12
+ROUNDS = 10
 MOMENTUM = 0.8
 BATCH = 2048
 #: Steps of embeddings, of what all words share, and of a group's own softmax.
 RATE_EMBED, RATE, RATE_GROUP = 0.1, 1.0, 0.2
 #: Characters of text in a row of the table of words.
-ROW_CHARS = 2_000_000
+ROW_CHARS = 1_000_000
 _GROUPS, _CLASSES, _INPUTS, _LEAVES = 1 << GROUP_BITS, 1 << CLASS_BITS, 1 << INPUT_BITS, 1 << (GROUP_BITS + CLASS_BITS)
 
 
@@ -50,7 +50,7 @@ def input_of(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """embed: of each input; place: weights by side; hidden: bias; out, bias: of the groups; own, own_bias: of the classes in each group.
+    """embed: of each input; place: weights by side; hidden: bias; out: of the groups; own: of the classes in each group. Their last rows are biases.
 
     steps: sums of squared gradients of each embedding; seen: words that moved each embedding in this task.
     """
@@ -59,9 +59,7 @@ class Network:
     place: np.ndarray
     hidden: np.ndarray
     out: np.ndarray
-    bias: np.ndarray
     own: np.ndarray
-    own_bias: np.ndarray
     steps: np.ndarray
     seen: np.ndarray
 
@@ -71,14 +69,15 @@ class Network:
         by = leaf_counts.reshape(_GROUPS, _CLASSES) + 1.0
         per = by.sum(axis=1)
         f = np.float32
+        out, own = np.zeros((WIDTH + 1, _GROUPS), f), np.zeros((_GROUPS, WIDTH + 1, _CLASSES), f)
+        out[-1] = np.log(per / per.sum())
+        own[:, -1] = np.log(by / per[:, None])
         return cls(
             r.normal(0, 0.1, (_INPUTS, WIDTH)).astype(f),
             np.repeat([[0.7 if abs(s) > 1 else 1.0] for s in SIDES], WIDTH, axis=1).astype(f),
             np.zeros(WIDTH, f),
-            np.zeros((WIDTH, _GROUPS), f),
-            np.log(per / per.sum()).astype(f),
-            np.zeros((_GROUPS, WIDTH, _CLASSES), f),
-            np.log(by / per[:, None]).astype(f),
+            out,
+            own,
             np.zeros(_INPUTS, f),
             np.zeros(_INPUTS, f),
         )
@@ -94,33 +93,35 @@ class Network:
         return cls(**{name: p.reshape(s) for (name, s), p in zip(_PARTS.items(), parts)}, seen=np.zeros(_INPUTS, np.float32))
 
     def _activate(self, x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """(embeddings, hidden layer, (middle, neighbour, same document) by side) of a run of words."""
+        """(embeddings, hidden layer and a one, (side, middle, neighbour, where that is in another document)) of a run of words."""
         e = self.embed[x]
         n = len(x)
-        z = np.repeat(self.hidden[None], n, axis=0)
+        h = np.ones((n, WIDTH + 1), np.float32)
+        z = h[:, :WIDTH]
+        z[:] = self.hidden
         sides = []
         for k, s in enumerate(SIDES):
             a, b = slice(max(0, -s), max(0, n - max(0, s))), slice(max(0, s), max(0, n - max(0, -s)))
             if n > abs(s):
-                same = (doc[a] == doc[b]).astype(np.float32)[:, None]
-                z[a] += e[b] * same * self.place[k]
-                sides.append((k, a, b, same))
-        return e, np.tanh(z, out=z), sides
+                z[a] += e[b] * self.place[k]
+                over = np.flatnonzero(doc[a] != doc[b])  # neighbours in another document don't count
+                z[a][over] -= e[b][over] * self.place[k]
+                sides.append((k, a, b, over))
+        np.tanh(z, out=z)
+        return e, h, sides
 
     def _softmax(self, h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """(shares of the groups, shares of the classes in each row's group, (group, first row, end)); rows are in order of their group."""
         p = h @ self.out
-        p += self.bias
         q = np.empty((len(h), _CLASSES), np.float32)
         edge = np.searchsorted(group, np.arange(_GROUPS + 1)).tolist()
         spans = [(g, lo, hi) for g, (lo, hi) in enumerate(zip(edge, edge[1:])) if lo < hi]
         for g, lo, hi in spans:
             np.matmul(h[lo:hi], self.own[g], out=q[lo:hi])
-            q[lo:hi] += self.own_bias[g]
         for v in (p, q):
-            np.clip(v, -60, 60, out=v)
+            np.minimum(v, np.float32(60), out=v)
             np.exp(v, out=v)
-            v /= v.sum(axis=1, keepdims=True)
+            v *= 1 / v.sum(axis=1, keepdims=True)
         return p, q, spans
 
     def learn(self, x: np.ndarray, doc: np.ndarray, leaf: np.ndarray) -> None:
@@ -132,24 +133,25 @@ class Network:
         p, q, spans = self._softmax(h, group)
         p[at, group] -= 1
         q[at, cls] -= 1
-        back = p @ self.out.T
+        back = p @ self.out[:WIDTH].T
         for g, lo, hi in spans:
-            back[lo:hi] += q[lo:hi] @ self.own[g].T
-            rate = RATE_GROUP / (hi - lo) ** 0.5
-            self.own[g] -= rate * (h[lo:hi].T @ q[lo:hi])
-            self.own_bias[g] -= 0.3 * rate * q[lo:hi].sum(axis=0)
-        back *= 1 - h * h
+            mine, own = q[lo:hi], self.own[g]
+            back[lo:hi] += mine @ own[:WIDTH].T
+            own -= (h[lo:hi].T * np.float32(RATE_GROUP / (hi - lo) ** 0.5)) @ mine
         self.out -= (RATE / n) * (h.T @ p)
-        self.bias -= (RATE / n) * p.sum(axis=0)
+        h = h[:, :WIDTH]
+        back *= 1 - h * h
         self.hidden -= (RATE / n) * back.sum(axis=0)
         by_word = np.empty_like(back)
         by_word[order] = back
         g_embed, g_place = np.zeros_like(e), np.zeros_like(self.place)
-        for k, a, b, same in sides:
-            g = by_word[a] * same
-            g_place[k] = (g * e[b]).sum(axis=0)
-            g *= self.place[k]
-            g_embed[b] += g
+        for k, a, b, over in sides:
+            g = by_word[a]
+            if len(over):
+                g = g.copy()
+                g[over] = 0
+            g_place[k] = np.einsum("ij,ij->j", g, e[b])
+            g_embed[b] += g * self.place[k]
         self.place -= (0.3 * RATE / n) * g_place
         order = np.argsort(x, kind="stable")
         own = x[order]
@@ -175,17 +177,24 @@ class Network:
         return out
 
 
-_PARTS = {"place": (len(SIDES), WIDTH), "hidden": (WIDTH,), "out": (WIDTH, _GROUPS), "bias": (_GROUPS,), "own": (_GROUPS, WIDTH, _CLASSES), "own_bias": (_GROUPS, _CLASSES), "steps": (_INPUTS,), "embed": (_INPUTS, WIDTH)}
+_PARTS = {"place": (len(SIDES), WIDTH), "hidden": (WIDTH,), "out": (WIDTH + 1, _GROUPS), "own": (_GROUPS, WIDTH + 1, _CLASSES), "steps": (_INPUTS,), "embed": (_INPUTS, WIDTH)}
 _SHARED = sum(int(np.prod(s)) for s in list(_PARTS.values())[:-2])
 
 
-def task_step(before: Network, after: Network, n: int) -> np.ndarray:
-    """What a task sends: its step, weighted by its words, and for embeddings by how often it saw each; the weights follow."""
-    d = after.flat() - before.flat()
-    d[:_SHARED] *= n
-    d[_SHARED : _SHARED + _INPUTS] *= after.seen
-    d[_SHARED + _INPUTS :] *= np.repeat(after.seen, WIDTH)
-    return np.concatenate((d, after.seen, np.array([n], np.float32)))
+def task_step(before: Network, after: Network, n: int) -> bytes:
+    """What a task sends: its step in half precision, how often it saw each embedding, and its words."""
+    d = np.clip(after.flat() - before.flat(), -60_000, 60_000).astype(np.float16)
+    return d.tobytes() + after.seen.tobytes() + np.array([n], np.float32).tobytes()
+
+
+def weighted(sent: bytes) -> np.ndarray:
+    """A task_step() weighted by the task's words, and for embeddings by how often it saw each; the weights follow."""
+    d = np.frombuffer(sent, np.float16, _SHARED + _INPUTS * (WIDTH + 1)).astype(np.float32)
+    weights = np.frombuffer(sent, np.float32, offset=2 * len(d))
+    d[:_SHARED] *= weights[-1]
+    d[_SHARED : _SHARED + _INPUTS] *= weights[:-1]
+    d[_SHARED + _INPUTS :] *= np.repeat(weights[:-1], WIDTH)
+    return np.concatenate((d, weights))
 
 
 @dataclass
@@ -196,7 +205,7 @@ class Averaged:
     speed: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
 
     def take(self, total: np.ndarray) -> Averaged:
-        """After the round whose task_step()s have this sum."""
+        """After the round whose weighted() steps have this sum."""
         d, seen, n = total[: -_INPUTS - 1].copy(), total[-_INPUTS - 1 : -1], total[-1]
         d[:_SHARED] /= n
         d[_SHARED : _SHARED + _INPUTS] /= np.maximum(seen, 1)
@@ -235,13 +244,26 @@ def word_table(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for k, (ids, texts) in enumerate(chunks(batches, ROW_CHARS)):
+        part, row = TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        chars = 0
+
+        def emit() -> pa.RecordBatch:
+            ids, sizes, h = (np.concatenate(x) for x in zip(*held))
+            vocabulary, tokens, counts = np.unique(h, return_inverse=True, return_counts=True)
+            own = [v.tobytes() for v in (ids, sizes, vocabulary.astype("<u8"), counts.astype("<i8"))]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + row]), *(pa.array([v], pa.binary()) for v in own), pa.array([_packed(tokens)], pa.binary()), pa.array([(part + row) % ROUNDS], pa.int32())], [c.split()[0] for c in _TABLE.split(", ")])
+
+        for ids, texts in chunks(batches):
             w = words(texts, fold=True)
-            sizes = np.where([t is None for t in texts], -1, np.diff(w.first))
-            vocabulary, tokens, counts = np.unique(w.hash, return_inverse=True, return_counts=True)
-            own = [np.array([-(2**63) if i is None else i for i in ids], "<i8"), sizes.astype("<i8"), vocabulary.astype("<u8"), counts.astype("<i8")]
-            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), *(pa.array([v.tobytes()], pa.binary()) for v in own), pa.array([_packed(tokens)], pa.binary()), pa.array([(part + k) % ROUNDS], pa.int32())], [c.split()[0] for c in _TABLE.split(", ")])
+            sizes = np.where([t is None for t in texts], -1, np.diff(w.first)).astype("<i8")
+            held.append((np.array([-(2**63) if i is None else i for i in ids], "<i8"), sizes, w.hash))
+            chars += sum(len(t) for t in texts if t)
+            if chars >= ROW_CHARS:
+                yield emit()
+                held, chars, row = [], 0, row + 1
+        if held:
+            yield emit()
 
     return written(text_frame(docs).mapInArrow(run, _TABLE), "words", by="round")
 
@@ -292,12 +314,12 @@ def train_on(table: DataFrame) -> Model:
                 for sizes, v, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                     n += fit(np.frombuffer(v, "<u8")[_unpacked(tokens)], _docs_of(sizes), net)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([task_step(Network.of_flat(start.value), net, n).tobytes()], pa.binary())], ["m"])
+                yield pa.RecordBatch.from_arrays([pa.array([task_step(Network.of_flat(start.value), net, n)], pa.binary())], ["m"])
 
-        total = tree_sum(table.filter(F.col("round") == r).select("sizes", "vocabulary", "tokens").mapInArrow(run, "m binary"), dtype=np.float32)
+        total = tree_sum(table.filter(F.col("round") == r).select("sizes", "vocabulary", "tokens").mapInArrow(run, "m binary"), dtype=np.float32, read=weighted)
         if total is not None:
             state = state.take(total)
-        start.unpersist()
+        start.destroy()
     return Model(state.net, vocabulary, np.log(spread))
 
 
@@ -310,10 +332,11 @@ def score_on(table: DataFrame, model: Model) -> DataFrame:
     def solve(rows: pa.Table, known: pa.Table) -> pa.Table:
         out = []
         of = Network.of_flat(given.value)
-        for ids, sizes, v, tokens in zip(*(rows[c].to_pylist() for c in ("ids", "sizes", "vocabulary", "tokens"))):
-            h, t = np.frombuffer(v, "<u8"), _unpacked(tokens)
-            total = np.zeros(len(h))
-            total[np.searchsorted(h, known["h"].to_numpy().view(np.uint64))] = known["n"].to_numpy()
+        h, total = known["h"].to_numpy().view(np.uint64), known["n"].to_numpy()
+        order = np.argsort(h)
+        h, total = h[order], total[order]
+        for ids, sizes, tokens in zip(*(rows[c].to_pylist() for c in ("ids", "sizes", "tokens"))):
+            t = _unpacked(tokens)
             leaf, doc = leaf_of(h), _docs_of(sizes)
             share = np.log(total + 1) - spread[leaf]
             n = np.frombuffer(sizes, "<i8")
@@ -323,7 +346,7 @@ def score_on(table: DataFrame, model: Model) -> DataFrame:
             out.append(pa.table([pa.array(i, mask=i == -(2**63)), pa.array(n, mask=absent), pa.array(score, mask=absent), pa.array(mean, mask=n < 1)], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return table.groupBy("row").cogroup(pairs.groupBy("row")).applyInArrow(solve, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return table.select("row", "ids", "sizes", "tokens").groupBy("row").cogroup(pairs.groupBy("row")).applyInArrow(solve, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
 
 
 def train(docs: DataFrame) -> Model:

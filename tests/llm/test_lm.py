@@ -18,9 +18,9 @@ def brute(net, share, text):
         for k, s in enumerate(lm.SIDES):
             if 0 <= i + s < len(h):
                 z += net.embed[x[i + s]].astype(float) * net.place[k]
-        a = np.tanh(z)
+        a = np.append(np.tanh(z), 1)
         g, c = leaf[i] >> lm.CLASS_BITS, leaf[i] & (lm._CLASSES - 1)
-        for logits, at in ((a @ net.out + net.bias, g), (a @ net.own[g] + net.own_bias[g], c)):
+        for logits, at in ((a @ net.out, g), (a @ net.own[g], c)):
             total += logits[at] - np.log(np.exp(logits).sum())
         total += share(h[i])
     return total
@@ -43,7 +43,7 @@ def test_gradient_is_that_of_differences():
     before = loss(net)
     new = lm.Network.of_flat(net.flat())
     new.learn(x, doc, leaf)
-    for name in ("bias", "hidden", "out", "place", "embed"):
+    for name in ("hidden", "out", "place", "embed"):
         step = getattr(net, name) - getattr(new, name)
         at = np.unravel_index(np.abs(step).argmax(), step.shape)
         if name == "embed":  # its step is the gradient's sum over the root of the sum of squares
@@ -105,7 +105,7 @@ def test_many_tasks_learn_nearly_what_one_does(small):
                 for h, doc in task:
                     a, b = (len(h) * k // lm.ROUNDS for k in (r, r + 1))
                     seen += lm.fit(h[a:b], doc[a:b], net)
-                total = total + lm.task_step(state.net, net, seen)
+                total = total + lm.weighted(lm.task_step(state.net, net, seen))
             state = state.take(total)
         return gain(state.net)
 
@@ -135,9 +135,9 @@ def test_counts_are_those_of_all_texts(spark):
     h = words(["a b c"], fold=True).hash
     assert {r.h: r.n for r in model.vocabulary.collect()} == dict(zip(h.view(np.int64).tolist(), [2, 3, 2]))
     net = model.net  # for any context, all known words and the unknown one have shares that add up to one
-    z = np.tanh(net.embed[7] * net.place[0] + net.hidden)
+    z = np.append(np.tanh(net.embed[7] * net.place[0] + net.hidden), 1)
     soft = lambda v: np.exp(v) / np.exp(v).sum()
-    leaf = (soft(z @ net.out + net.bias)[:, None] * np.array([soft(z @ net.own[g] + net.own_bias[g]) for g in range(lm._GROUPS)])).ravel()
+    leaf = (soft(z @ net.out)[:, None] * np.array([soft(z @ net.own[g]) for g in range(lm._GROUPS)])).ravel()
     known = np.zeros(lm._LEAVES)
     np.add.at(known, lm.leaf_of(h), np.array([2, 3, 2]) + 1)
     assert abs((leaf * (known + 1) / np.exp(model.spread)).sum() - 1) < 1e-4
