@@ -1,15 +1,13 @@
 """Related-document packing: training windows that hold neighbouring documents.
 
-1. Each text becomes a point: its hashed word counts, damped and normalised. Nearness is
-   that of these whole profiles.
-2. Centres of a sample part the points into cells of some thousand documents. Every point
-   is compared with all points of the PROBES cells whose centres are nearest to it, by exact
-   distances; with no more cells than that the graph is exact.
-3. In each cell, paths start at the unvisited document of lowest degree and step to the
-   nearest unvisited neighbour until there is none; the next path follows.
-4. Windows of a fixed number of tokens are filled along the paths; a document that
-   doesn't fit is continued in the next window, so no token is lost or padded
-   except in a cell's last window.
+1. Each text becomes a point: its hashed word counts, damped and normalised. Nearness is that of these
+   whole profiles. Documents of one profile are one point; they follow one another.
+2. Centres of a sample part the points into cells of some thousand. Every point is compared with all
+   points of the PROBES cells whose centres are nearest to it; with no more cells than that the graph is exact.
+3. Neighbouring cells make regions of up to REGION points. In each, paths start at the unvisited point of lowest
+   degree and step to the nearest unvisited neighbour until there is none; the next path follows.
+4. Windows of a fixed number of tokens are filled along the paths; a document that doesn't fit is continued in
+   the next window, so no token is lost or padded except in a region's last window.
 """
 
 from __future__ import annotations
@@ -21,22 +19,26 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import chunks, cut, text_frame
 from .kernel import words
 
 BUCKETS = 256
-DIMENSIONS = BUCKETS
 NEIGHBOURS = 6
 WINDOW = 2048
-CELL = 4000
+CELL = 3000
 #: Cells that each point looks through. README has the recall measured with it.
-PROBES = 8
-#: Parts that the points looking through a cell are dealt to, each with the cell's own points.
-PARTS = 2
+PROBES = 12
+#: A task compares points with at most so many of a cell, and so many points with them; cells that are larger or more looked at are dealt to several.
+OWN, LOOKING = 20_000, 100_000
+#: Points whose paths a task walks.
+REGION = 100_000
 #: Points from which the centres are made: so many a cell, within these bounds.
 CENTRE_POINTS, LEAST_POINTS, MOST_POINTS = 32, 4096, 50_000
-_AXES = [f"x{k}" for k in range(DIMENSIONS)]
+SPLITS = 2
+#: Parts that the documents of one profile are dealt to for their order.
+SALT = 64
 
 
 def word_counts(texts: list[str | None]) -> np.ndarray:
@@ -62,7 +64,7 @@ def tokens_of(texts: list[str | None]) -> np.ndarray:
     return np.diff(words(texts).first)
 
 
-def _vectors(texts: DataFrame) -> DataFrame:
+def vectors(texts: DataFrame) -> DataFrame:
     """(doc_id, n, v): tokens and word counts of each row; v has the counts' lowest bytes first, then the next, so that it packs well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,159 +80,35 @@ def _as_bytes(counts: np.ndarray) -> pa.Array:
 
 
 def _as_rows(v: pa.Array) -> np.ndarray:
-    """Profiles of v: of word counts, or as they are (float32) where v is marked by a byte more."""
+    """Profiles of v."""
     raw = np.frombuffer(b"".join(v.to_pylist()), np.uint8)
-    if len(raw) > len(v) * BUCKETS * 4:
-        return np.ascontiguousarray(raw.reshape(len(v), -1)[:, 1:]).view(np.float32)
     return _unit(np.ascontiguousarray(raw.reshape(len(v), 4, BUCKETS).transpose(0, 2, 1)).view("<u4")[:, :, 0])
 
 
-def points(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, x0 ..): tokens and coordinates of each row that has an id."""
+def centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Unit vectors, one a cell, near which the sample's points lie: spherical k-means from a fixed start, and again, SPLITS times at most, within cells of over twice the mean size."""
+    if not len(sample):
+        return np.zeros((1, BUCKETS), np.float32)
+    most = 2 * max(1, len(sample) // max(1, cells))
+    c = _k_means(sample, cells, rounds)
+    for _ in range(SPLITS):
+        near = _nearest_of(sample, c)
+        size = np.bincount(near, minlength=len(c))
+        large = np.flatnonzero((size > most) & (size < len(sample)))
+        if not len(large):
+            break
+        c = np.concatenate([c[np.setdiff1d(np.arange(len(c)), large)], *(_k_means(sample[near == k], -(-2 * size[k] // most), rounds) for k in large)])
+    return c
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _as_rows(b.column(2)).astype(float)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x[:, k]) for k in range(DIMENSIONS))], ["doc_id", "n", *_AXES])
-
-    return _vectors(texts).mapInArrow(run, "doc_id long, n long, " + ", ".join(f"{a} double" for a in _AXES))
-
-
-class Tree:
-    """Median splits of sample points, down to `leaves` cells; cell c covers the box low[c] .. high[c]."""
-
-    def __init__(self, sample: np.ndarray, leaves: int):
-        self.axis: list[int] = []
-        self.at: list[float] = []
-        self.kids: list[tuple[int, int]] = []
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        d = sample.shape[1]
-        self.root = self._split(sample, leaves, np.full(d, -np.inf), np.full(d, np.inf))
-        self.low_, self.high_ = np.array(self.low), np.array(self.high)
-
-    def _split(self, s: np.ndarray, leaves: int, low: np.ndarray, high: np.ndarray) -> int:
-        if leaves > 1 and len(s) > 1:
-            axis = int(np.ptp(s, axis=0).argmax())
-            share = leaves // 2 / leaves
-            at = float(np.quantile(s[:, axis], share))
-            if at <= s[:, axis].min():  # so many points share the least value that the share falls among them
-                at = float(s[s[:, axis] > at, axis].min(initial=np.inf))
-            left = s[:, axis] < at
-            if left.any() and not left.all():
-                me = len(self.axis)
-                self.axis.append(axis)
-                self.at.append(at)
-                self.kids.append((0, 0))
-                up, down = high.copy(), low.copy()
-                up[axis] = down[axis] = at
-                self.kids[me] = (self._split(s[left], leaves // 2, low, up), self._split(s[~left], leaves - leaves // 2, down, high))
-                return me
-        self.low.append(low)
-        self.high.append(high)
-        return -len(self.low)
-
-    def cell(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.root)
-        live = np.flatnonzero(out >= 0)
-        axis, at, kids = np.array(self.axis, int), np.array(self.at), np.array(self.kids, int).reshape(-1, 2)
-        while len(live):
-            node = out[live]
-            out[live] = kids[node, (x[live, axis[node]] >= at[node]).astype(int)]
-            live = live[out[live] >= 0]
-        return -out - 1
-
-    def touched(self, x: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into x, cell) for the cells within the squared distance of each point; one descent for all points."""
-        found: list[tuple[np.ndarray, int]] = []
-        stack = [(self.root, np.arange(len(x)), np.zeros(x.shape))]
-        while stack:
-            node, who, gap = stack.pop()
-            near = (gap[who] ** 2).sum(axis=1) <= r2[who] if len(who) else np.zeros(0, bool)
-            who = who[near]
-            if not len(who):
-                continue
-            if node < 0:
-                found.append((who, -node - 1))
-                continue
-            axis, at = self.axis[node], self.at[node]
-            off = x[:, axis] - at
-            left, right = gap.copy(), gap.copy()
-            left[:, axis] = np.maximum(gap[:, axis], off)
-            right[:, axis] = np.maximum(gap[:, axis], -off)
-            stack.append((self.kids[node][0], who, left))
-            stack.append((self.kids[node][1], who, right))
-        if not found:
-            return np.empty(0, int), np.empty(0, int)
-        return np.concatenate([w for w, _ in found]), np.repeat([c for _, c in found], [len(w) for w, _ in found])
-
-
-def nearest(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, leaf: int = CELL) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances) of the k nearest of y for each of x, by (distance, id); its own row (by id) doesn't count. -1 and inf where y is short.
-
-    A y of more than twice `leaf` points is split further by a tree of its own, so the work grows with y and not with its square.
-    """
-    return _compared(x, own, y, ids, k) if len(y) <= 2 * leaf else _split_search(x, own, y, ids, k, leaf)
-
-
-def _split_search(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
-    tree = Tree(y, -(-len(y) // leaf))
-    cell = tree.cell(y)
-    order = np.argsort(cell, kind="stable")
-    edge = np.searchsorted(cell[order], np.arange(len(tree.low_) + 1))
-    near, far = np.full((len(x), k), -1, np.int64), np.full((len(x), k), np.inf)
-
-    def look(who: np.ndarray, where: np.ndarray) -> None:
-        by = np.argsort(where, kind="stable")
-        for part in np.split(by, np.flatnonzero(np.diff(where[by])) + 1) if len(by) else ():
-            rows, c = who[part], where[part[0]]
-            own_y = order[edge[c] : edge[c + 1]]
-            if not len(own_y):
-                continue
-            i, d = _compared(x[rows], own[rows], y[own_y], ids[own_y], k)
-            i, d = np.hstack((near[rows], i)), np.hstack((far[rows], d))
-            best = np.lexsort((i, d), axis=1)[:, :k]
-            near[rows], far[rows] = np.take_along_axis(i, best, 1), np.take_along_axis(d, best, 1)
-
-    home = tree.cell(x)
-    look(np.arange(len(x)), home)
-    who, where = tree.touched(x, far[:, k - 1])
-    other = where != home[who]
-    look(who[other], where[other])
-    return near, far
-
-
-def _compared(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """nearest() by looking at all of y."""
-    near = np.full((len(x), k), -1, np.int64)
-    far = np.full((len(x), k), np.inf)
-    order = np.argsort(ids, kind="stable")
-    y, ids = y[order], ids[order]
-    for lo in range(0, len(x), 256):
-        d = np.zeros((len(x[lo : lo + 256]), len(y)))
-        for a in range(x.shape[1]):
-            d += (x[lo : lo + 256, a, None] - y[None, :, a]) ** 2
-        d[own[lo : lo + 256, None] == ids[None, :]] = np.inf
-        m = min(k, len(y))
-        kth = np.partition(d, m - 1, axis=1)[:, m - 1]
-        row, col = np.nonzero(d <= kth[:, None])
-        v = d[row, col]
-        by = np.lexsort((col, v, row))
-        row, col, v = row[by], col[by], v[by]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = (rank < k) & np.isfinite(v)
-        near[lo + row[keep], rank[keep]] = ids[col[keep]]
-        far[lo + row[keep], rank[keep]] = v[keep]
-    return near, far
 
+def _nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[lo : lo + 4096] @ c.T).argmax(axis=1) for lo in range(0, len(x), 4096)])
 
-def centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
-    """Unit vectors, one a cell, near which the sample's points lie: spherical k-means from a fixed start."""
-    if not len(sample):
-        return np.zeros((1, DIMENSIONS), np.float32)
+
+def _k_means(sample: np.ndarray, cells: int, rounds: int) -> np.ndarray:
     c = sample[np.random.default_rng(7).permutation(len(sample))[:cells]].copy()
     for _ in range(rounds if len(c) > 1 else 0):
-        near = np.concatenate([(sample[lo : lo + 4096] @ c.T).argmax(axis=1) for lo in range(0, len(sample), 4096)])
+        near = _nearest_of(sample, c)
         order = np.argsort(near, kind="stable")
         start = np.flatnonzero(np.diff(near[order], prepend=-1))
         total = np.add.reduceat(sample[order], start, axis=0)
@@ -239,53 +117,87 @@ def centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _most_alike(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into x, id, squared distance) of the k nearest of y (ids ascending) for each of x, by (distance, id), but for its own row.
+def most_alike(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into x, id, squared distance) of the k nearest of y (ids ascending) for each of x, by (distance, id), but for its own row. All have unit length.
 
-    Products in single precision choose twice k rows, whose distances are then computed in double precision.
+    Products in single precision, of blocks that stay in the cache, choose twice k rows, whose distances are then computed in double precision.
     """
     found = []
-    square = (y * y).sum(axis=1) / 2
-    blocks = np.arange(0, len(y), 64)
-    for lo in range(0, len(x) if len(y) else 0, 256):
-        q = x[lo : lo + 256]
-        s = q @ y.T
-        s -= square
-        at = np.minimum(np.searchsorted(ids, own[lo : lo + 256]), len(ids) - 1)
-        me = np.flatnonzero(ids[at] == own[lo : lo + 256])
-        s[me, at[me]] = -np.inf
-        if len(blocks) > 2 * k:  # k blocks have each a row at least as near as the k-th of the blocks' best
-            best = np.maximum.reduceat(s, blocks, axis=1)
-            row, col = np.nonzero(s >= np.partition(best, len(blocks) - k, axis=1)[:, len(blocks) - k, None] - 1e-5)
-        else:
-            row, col = np.nonzero(s > -np.inf)
-        by = np.lexsort((col, -np.round(s[row, col], 5), row))
-        row, col = row[by], col[by]
-        few = np.arange(len(row)) - np.searchsorted(row, row) < 2 * k
-        row, col = row[few], col[few]
+    most = min(2 * k, len(y))
+    at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
+    mine = np.where(ids[at] == own, at, -1) if len(ids) else np.empty(0, np.int64)
+    for lo in range(0, len(x) if len(y) else 0, 512):
+        q = x[lo : lo + 512]
+        me = mine[lo : lo + 512]
+        n = len(q)
+        best, score = np.empty((n, 0), np.int64), np.empty((n, 0), np.float32)
+        for b in range(0, len(y), 2048):
+            s = q @ y[b : b + 2048].T
+            here = np.flatnonzero((me >= b) & (me < b + s.shape[1]))
+            s[here, me[here] - b] = -2
+            if not best.shape[1]:
+                if s.shape[1] > most:
+                    kth = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most, None]
+                    row, col = np.nonzero(s >= kth - 1e-5)
+                else:
+                    row, col = np.nonzero(s > -3)
+                v = s[row, col]
+            else:
+                row, col = np.nonzero(s > score[:, -1:] - 1e-5)
+                if not len(row):
+                    continue
+                v = np.concatenate((score.ravel(), s[row, col]))
+                row, col = np.concatenate((np.repeat(np.arange(n), best.shape[1]), row)), np.concatenate((best.ravel(), col + b))
+            order = np.lexsort((col, -np.round(v, 5), row))
+            row, col, v = row[order], col[order], v[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = rank < most
+            if keep.sum() == n * most:
+                best, score = col[keep].reshape(n, most), v[keep].reshape(n, most)
+            else:  # fewer rows than that so far
+                best, score = np.zeros((n, most), np.int64), np.full((n, most), -2, np.float32)
+                best[row[keep], rank[keep]], score[row[keep], rank[keep]] = col[keep], v[keep]
+        row, place = np.nonzero(score > -2)
+        col = best[row, place]
         d = np.zeros(len(row))
-        gap = (q[row].astype(float) - y[col]).T ** 2
-        for g in gap:
+        for g in (q[row].astype(float) - y[col]).T ** 2:
             d += g
-        by = np.lexsort((col, d, row))
-        row, col, d = row[by], col[by], d[by]
+        order = np.lexsort((col, d, row))
+        row, col, d = row[order], col[order], d[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < k
         found.append((lo + row[keep], ids[col[keep]], d[keep]))
     return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
 
 
-def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL, probes: int = PROBES) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cell) of each of pts, and edges (doc_id, other, rank, d2, cell): the k nearest others found in `probes` cells; ties go to the smaller id.
+def regions(middle: np.ndarray, sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first region, regions) of each cell: cells near each other share a region while they hold `limit` points or fewer; a larger cell has several of its own."""
+    first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // limit))
+    made = 0
+    stack = [np.arange(len(sizes))]
+    while stack:
+        own = stack.pop()
+        if len(own) == 1 or sizes[own].sum() <= limit:
+            first[own] = made
+            made += int(parts[own].max(initial=1)) if len(own) == 1 else 1
+            if len(own) > 1:
+                parts[own] = 1
+            continue
+        x = middle[own].astype(float)
+        x -= x.mean(axis=0)
+        axis = np.linalg.svd(x, full_matrices=False)[2][0]
+        axis = axis * np.sign(axis[np.abs(axis).argmax()])
+        own = own[np.argsort(x @ axis, kind="stable")]
+        half = int(np.searchsorted(np.cumsum(sizes[own]), sizes[own].sum() / 2))
+        half = min(max(1, half), len(own) - 1)
+        stack += [own[half:], own[:half]]
+    return first, parts
 
-    pts have their profile in v or in x0 .. .
-    """
-    if "v" not in pts.columns:
 
-        def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"doc_id": b["doc_id"], "n": b["n"], "v": [b"f" + r.tobytes() for r in b[_AXES].to_numpy(np.float32)]})
+def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL, probes: int = PROBES, region: int = REGION, own: int = OWN, looking: int = LOOKING) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, region) of each of pts (doc_id, v), and edges (doc_id, other, rank, d2): the k nearest others found in `probes` cells; ties go to the smaller id.
 
-        pts = pts.mapInPandas(narrow, "doc_id long, n long, v binary")
+    A point without words has no neighbours.
+    """
     total = pts.count()
     cells = max(1, -(-total // cell_size))
     share = min(1.0, min(MOST_POINTS, max(LEAST_POINTS, CENTRE_POINTS * cells)) / max(1, total))
@@ -293,51 +205,80 @@ def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL, probe
     middle = centres(_as_rows(sample["v"]), cells)
     probed = min(probes, len(middle))
 
-    def rated(b: pa.RecordBatch) -> np.ndarray:
-        return np.argsort(-(_as_rows(b.column("v")) @ middle.T), axis=1, kind="stable")[:, :probed]
+    def rated(x: np.ndarray, n: int) -> np.ndarray:
+        s = x @ middle.T
+        near = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(middle) else np.tile(np.arange(n), (len(x), 1))
+        return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), pa.array(rated(b)[:, 0], pa.int32())], ["doc_id", "n", "cell"])
+            for lo in range(0, len(b), 2000):
+                c = b.slice(lo, 2000)
+                near = rated(_as_rows(c.column("v")), probed)
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("v"), pa.array(near.astype("<i4").reshape(-1)[::probed]), pa.array([r.tobytes() for r in near.astype("<i4")], pa.binary())], ["doc_id", "v", "cell", "near"])
 
-    placed = cut(pts.mapInArrow(place, "doc_id long, n long, cell int"))
-    parts = PARTS if cells > 1 else 1
+    placed = cut(pts.select("doc_id", "v").mapInArrow(place, "doc_id long, v binary, cell int, near binary"))
+    sizes, looks = np.zeros(len(middle), np.int64), np.zeros(len(middle), np.int64)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, len(middle)), np.int64)
+        for b in batches:
+            n[0] += np.bincount(b.column(0).to_numpy(), minlength=len(middle))
+            n[1] += np.bincount(np.frombuffer(b"".join(b.column(1).to_pylist()), "<i4"), minlength=len(middle))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(middle), dtype=np.int32)), pa.array(n[0]), pa.array(n[1])], ["cell", "own", "looks"])
+
+    counted = placed.select("cell", "near").mapInArrow(tally, "cell int, own long, looks long").groupBy("cell").agg(F.sum("own").alias("own"), F.sum("looks").alias("looks")).toArrow()  # a row a cell
+    sizes[counted["cell"].to_numpy()], looks[counted["cell"].to_numpy()] = counted["own"].to_numpy(), counted["looks"].to_numpy()
+    blocks, parts = np.maximum(1, -(-sizes // own)), np.maximum(1, -(-looks // looking))
+    first, many = regions(middle, sizes, region)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first[cell] + b.column(0).to_numpy() % many[cell])], ["doc_id", "region"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 1000):
                 c = b.slice(lo, 1000)
-                near, ids = rated(c), c.column("doc_id").to_numpy()
-                who = np.concatenate((np.repeat(np.arange(len(c)), parts), np.repeat(np.arange(len(c)), probed)))
-                cell = np.concatenate((np.repeat(near[:, 0], parts), near.ravel()))
-                part = np.concatenate((np.tile(np.arange(parts), len(c)), np.repeat(ids % parts, probed)))
-                looks = np.arange(len(who)) >= len(c) * parts
-                yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pa.array(who)), c.column("v").take(pa.array(who)), pa.array(cell, pa.int32()), pa.array(part, pa.int32()), pa.array(looks)], ["doc_id", "v", "cell", "part", "looks"])
+                raw = np.frombuffer(b"".join(c.column("v").to_pylist()), np.uint8).reshape(len(c), -1)
+                ids, cell = c.column("doc_id").to_numpy(), c.column("cell").to_numpy()
+                near = np.frombuffer(b"".join(c.column("near").to_pylist()), "<i4").reshape(len(c), -1)
+                row = np.flatnonzero(raw.any(axis=1))
+                # Its own cell's block in each part of those that look, and a part in each block of the cells it looks through.
+                a = np.repeat(row, parts[cell[row]])
+                ka = cell[a], ids[a] % blocks[cell[a]], np.arange(len(a)) - np.searchsorted(a, a)
+                q = np.repeat(row, near.shape[1])
+                to = near[row].ravel()
+                z = np.repeat(np.arange(len(q)), blocks[to])
+                kz = to[z], np.arange(len(z)) - np.searchsorted(z, z), ids[q[z]] % parts[to[z]]
+                who = np.concatenate((a, q[z]))
+                key = [pa.array(np.concatenate((p, r)).astype(np.int32)) for p, r in zip(ka, kz)]
+                yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pa.array(who)), c.column("v").take(pa.array(who)), *key, pa.array(np.arange(len(who)) >= len(a))], ["doc_id", "v", "cell", "block", "part", "looks"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, y, ids = None, [], []
         for b in batches:
-            key = b.column("cell").to_numpy().astype(np.int64) * parts + b.column("part").to_numpy()
-            looks = b.column("looks").to_numpy(zero_copy_only=False)
-            edge = np.flatnonzero(np.diff(key * 2 + looks, prepend=-1, append=-1))
-            for lo, hi in zip(edge, edge[1:]):
-                x, own = _as_rows(b.column("v").slice(lo, hi - lo)), b.column("doc_id").to_numpy()[lo:hi]
-                if key[lo] != now:
-                    now, y, ids = key[lo], [], []
-                if not looks[lo]:
+            key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("cell", "block", "part")] + [b.column("looks").to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
+            edge = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True]))) if len(b) else []
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                x, mine = _as_rows(b.column("v").slice(lo, hi - lo)), b.column("doc_id").to_numpy()[lo:hi]
+                if tuple(key[lo, :3]) != now:
+                    now, y, ids = tuple(key[lo, :3]), [], []
+                if not key[lo, 3]:
                     y.append(x)
-                    ids.append(own)
+                    ids.append(mine)
                 elif y:
                     if len(y) > 1:
                         y, ids = [np.concatenate(y)], [np.concatenate(ids)]
-                    row, other, d = _most_alike(x, own, y[0], ids[0], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(other), pa.array(d)], ["doc_id", "other", "d2"])
+                    row, other, d = most_alike(x, mine, y[0], ids[0], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[row]), pa.array(other), pa.array(d)], ["doc_id", "other", "d2"])
 
-    dealt = pts.mapInArrow(deal, "doc_id long, v binary, cell int, part int, looks boolean")
-    met = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "looks", "doc_id").mapInArrow(look, "doc_id long, other long, d2 double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "other"))), 1, k)
-    merged = met.groupBy("doc_id").agg(best.alias("z")).join(placed.select("doc_id", F.col("cell").alias("home")), "doc_id")
-    return placed, merged.select("doc_id", "home", F.posexplode("z").alias("rank", "e")).select("doc_id", F.col("e.other").alias("other"), "rank", F.col("e.d2").alias("d2"), F.col("home").alias("cell"))
+    dealt = placed.mapInArrow(deal, "doc_id long, v binary, cell int, block int, part int, looks boolean")
+    met = dealt.repartition("cell", "block", "part").sortWithinPartitions("cell", "block", "part", "looks", "doc_id").mapInArrow(look, "doc_id long, other long, d2 double")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "other"))), 1, k)  # of k a cell and block
+    edges = met.groupBy("doc_id").agg(best.alias("z")).select("doc_id", F.posexplode("z").alias("rank", "e")).select("doc_id", F.col("e.other").alias("other"), "rank", F.col("e.d2").alias("d2"))
+    return placed.select("doc_id", "cell").mapInArrow(home, "doc_id long, region long"), edges
 
 
 def walk(ids: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, degree: np.ndarray) -> list[list[int]]:
@@ -363,46 +304,58 @@ def walk(ids: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray, degree: n
     return paths
 
 
-def fill(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(window, item, first token, end) pieces: items one after another in windows of that many tokens; empty items take no place."""
-    end = np.cumsum(sizes)
-    start = end - sizes
-    first, last = start // window, np.maximum(end - 1, start) // window
-    n = np.where(sizes > 0, last - first + 1, 0)
-    item = np.repeat(np.arange(len(sizes)), n)
-    win = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + first[item]
-    return win, item, np.maximum(win * window, start[item]) - start[item], np.minimum((win + 1) * window, end[item]) - start[item]
-
-
-def pack_related(docs: DataFrame, window: int = WINDOW, k: int = NEIGHBOURS, cell_size: int = CELL) -> DataFrame:
-    """(window_id, position, path, doc_id, token_start, token_end): the pieces of documents in each window, in order.
+def paths(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, region, path, start): where each of points (doc_id, region, tokens) stands in its region's order, start being the tokens before it.
 
-    window_id is unique and stable for given input: the cell in the upper 32 bits, the window within it in the lower.
-    Every token of every document is in exactly one piece. Texts without tokens (null or empty) take no place
-    and are in no window; rows without an id are left out; of rows that repeat an id, the one with the most tokens
-    counts (with the last profile, by bytes, if these tie too). Other columns are ignored.
+    Degrees are those in the whole graph; a path ends where all unvisited neighbours are in other regions.
     """
-    texts = text_frame(docs).filter("doc_id IS NOT NULL")
-    own = _vectors(texts).filter("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "v")).alias("p")).select("doc_id", "p.*")
-    placed, edges = neighbours(cut(own), k, cell_size)
-    edges = cut(edges)
     degree = edges.select("doc_id", "other").unionAll(edges.select("other", "doc_id")).toDF("doc_id", "other").distinct().groupBy("doc_id").agg(F.count("*").alias("degree"))
-    nodes = placed.join(degree, "doc_id", "left").select("cell", "doc_id", "n", F.coalesce("degree", F.lit(0)).alias("degree"))
+    nodes = points.join(degree, "doc_id", "left").select("region", "doc_id", "tokens", F.coalesce("degree", F.lit(0)).alias("degree"))
+    home = lambda node, name: points.select(F.col("doc_id").alias(node), F.col("region").alias(name))
+    own = edges.join(home("doc_id", "inside"), "doc_id").join(home("other", "to"), "other").filter("inside = to").select("inside", "doc_id", "other", "d2")
 
     def solve(key: tuple, node: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
         node = node.sort_values("doc_id")
-        ids, size = node["doc_id"].to_numpy(), node["n"].to_numpy()
+        ids, size = node["doc_id"].to_numpy(), node["tokens"].to_numpy()
         a, b = np.searchsorted(ids, edge["doc_id"].to_numpy()), np.searchsorted(ids, edge["other"].to_numpy())
-        inside = (b < len(ids)) & (ids[np.minimum(b, len(ids) - 1)] == edge["other"].to_numpy()) if len(ids) else np.zeros(len(b), bool)
-        paths = walk(ids, a[inside], b[inside], edge["d2"].to_numpy()[inside], node["degree"].to_numpy())
-        order = np.array([i for p in paths for i in p], np.int64)
-        path = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
-        win, item, lo, hi = fill(size[order], window)
-        position = np.arange(len(win)) - np.searchsorted(win, win)
-        return pd.DataFrame({"window_id": (np.int64(key[0]) << 32) + win, "position": position, "path": path[item], "doc_id": ids[order[item]], "token_start": lo, "token_end": hi})
+        found = walk(ids, a, b, edge["d2"].to_numpy(), node["degree"].to_numpy())
+        order = np.array([i for p in found for i in p], np.int64)
+        end = np.cumsum(size[order])
+        return pd.DataFrame({"doc_id": ids[order], "region": key[0], "path": np.repeat(np.arange(len(found)), [len(p) for p in found]), "start": end - size[order]})
+
+    return nodes.groupBy("region").cogroup(own.groupBy("inside")).applyInPandas(solve, "doc_id long, region long, path int, start long")
 
-    return nodes.groupBy("cell").cogroup(edges.groupBy("cell")).applyInPandas(solve, "window_id long, position int, path int, doc_id long, token_start long, token_end long")
+
+def pack_related(docs: DataFrame, window: int = WINDOW, k: int = NEIGHBOURS, cell_size: int = CELL, region: int = REGION) -> DataFrame:
+    """(window_id, position, path, doc_id, token_start, token_end): the pieces of documents in each window, in order.
+
+    window_id is unique and stable for given input: the region in the upper 32 bits, the window within it in the lower.
+    Every token of every document is in exactly one piece. Texts without tokens (null or empty) take no place
+    and are in no window; rows without an id are left out; of rows that repeat an id, the one with the most tokens
+    counts (with the last profile, by bytes, if these tie too). Documents of one profile, however many, follow one another.
+    Very long texts are taken whole; other columns are ignored.
+    """
+    texts = text_frame(docs).filter("doc_id IS NOT NULL")
+    own = cut(vectors(texts).filter("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "v")).alias("p")).select("doc_id", "p.*", F.xxhash64("p.v").alias("a"), F.xxhash64(F.lit(7), "p.v").alias("b")))
+    points = cut(own.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.any_value("v").alias("v"), F.sum("n").alias("tokens")))
+    homes, edges = neighbours(points.select("doc_id", "v"), k, cell_size, region=region)
+    placed = points.select("doc_id", "tokens", "a", "b").join(homes, "doc_id")
+    walked = paths(placed.select("doc_id", "region", "tokens"), cut(edges)).join(points.select("doc_id", "a", "b"), "doc_id").drop("doc_id")
+    # Among the documents of a profile: by a part of SALT, then by id, so that no task has to order all of them.
+    dealt = own.select("doc_id", "n", "a", "b", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).alias("salt"))
+    ahead = W.partitionBy("a", "b").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    before = dealt.groupBy("a", "b", "salt").agg(F.sum("n").alias("m")).withColumn("ahead", F.coalesce(F.sum("m").over(ahead), F.lit(0))).drop("m")
+    here = W.partitionBy("a", "b", "salt").orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
+    rows = dealt.join(before.join(walked, ["a", "b"]), ["a", "b", "salt"]).withColumn("from", F.col("start") + F.col("ahead") + F.coalesce(F.sum("n").over(here), F.lit(0)))
+    w = F.lit(window).cast("long")
+    last = F.col("from") + F.col("n") - 1
+    pieces = rows.select("region", "path", "doc_id", "n", "from", F.explode(F.sequence(F.expr(f"from DIV {window}"), F.floor(last / w))).alias("w"))
+    start, end = F.greatest(F.col("w") * w - F.col("from"), F.lit(0)), F.least((F.col("w") + 1) * w - F.col("from"), F.col("n"))
+    out = pieces.select((F.shiftleft("region", 32) + F.col("w")).alias("window_id"), "path", "doc_id", start.alias("token_start"), end.alias("token_end"), "from")
+    position = F.row_number().over(W.partitionBy("window_id").orderBy("from")) - 1
+    return out.select("window_id", position.alias("position"), "path", "doc_id", "token_start", "token_end")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_related() of all documents: a row a piece; null and empty texts have none."""
     return pack_related(spark.read.parquet(f"{sf_dir}/documents.parquet"))
