@@ -75,16 +75,42 @@ def enrich(doc: object, uris: dict[str, str]) -> object:
     return [enrich(v, uris) for v in doc] if isinstance(doc, list) else doc
 
 
-def merge_documents(docs: list[object]) -> object:
-    """[AGG19] no document: {}; one: itself; more: a graph of all, under the first context, without contexts of their own."""
+def merge_documents(docs: list[object], once: bool = False) -> object:
+    """[AGG19] no document: {}; one: itself; more: a graph of all, under the first context, without contexts of their own.
+
+    With `once`, nodes of one type and name (letters' case aside), and of one @id if both have one, become one: of each property the first value
+    that is told. A graph of one node is that node.
+    """
     docs = [d for d in docs if isinstance(d, dict)]
-    if len(docs) < 2:
+    if not docs or len(docs) < 2 and not once:
         return docs[0] if docs else {}
     nodes: list[object] = []
     for d in docs:
         inner = d.get("@graph")
         nodes += [{k: v for k, v in n.items() if k != "@context"} if isinstance(n, dict) else n for n in (inner if isinstance(inner, list) else [d])]
-    return {"@context": next((d["@context"] for d in docs if "@context" in d), CONTEXT), "@graph": nodes}
+    context = {"@context": next((d["@context"] for d in docs if "@context" in d), CONTEXT)}
+    if once:
+        nodes = _merged_nodes(nodes)
+        if len(nodes) == 1 and isinstance(nodes[0], dict):
+            return context | nodes[0]
+    return context | {"@graph": nodes}
+
+
+def _merged_nodes(nodes: list[object]) -> list[object]:
+    out: list[object] = []
+    at: dict[tuple[str, str], list[dict]] = {}
+    for n in nodes:
+        if not isinstance(n, dict) or not isinstance(n.get("name"), str):
+            out.append(n)
+            continue
+        group = at.setdefault((dump(n.get("@type")), n["name"].lower()), [])
+        same = next((m for m in group if m.get("@id", n.get("@id")) == n.get("@id", m.get("@id"))), None)
+        if same is None:
+            group.append(dict(n))
+            out.append(group[-1])
+        else:
+            same.update({k: v for k, v in n.items() if k not in same})
+    return out
 
 
 def _mapped(kind: str, f: Callable[[object], object]) -> Callable[[Column], Column]:
@@ -116,6 +142,18 @@ count_arrays = _mapped("long", _count(lambda v: isinstance(v, list)))  # [AGG21]
 with_context = _mapped("string", lambda d: dump({"@context": CONTEXT} | {k: v for k, v in d.items() if k != "@context"}) if isinstance(d, dict) else None)  # [PRJ5]
 
 
+def parsed_with_context(x: Column) -> Column:
+    """[SRC5] a text as VARIANT under the built-in context; null for what is no JSON object."""
+    return F.try_parse_json(with_context(x))
+
+
+def built(kind: Column | str, properties: dict[str, Column], id: Column | None = None, context: Column | str = "https://schema.org") -> Column:
+    """[PRJ3] the text of a document of this type with these properties, in their order; null ones are left out."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    own = [lit(context).alias("@context"), lit(kind).alias("@type"), *([] if id is None else [id.alias("@id")])]
+    return F.to_json(F.struct(*own, *(c.alias(name) for name, c in properties.items())))
+
+
 def count_objects(x: Column, key: str = "@type") -> Column:
     """[AGG20] objects that have the key."""
     return _mapped("long", _count(lambda v: isinstance(v, dict) and key in v))(x)

@@ -60,6 +60,11 @@ def pieces(text: str, size: int = SIZE, overlap: int = 0) -> list[tuple[int, int
     return out
 
 
+def chunk_spans(text: str, size: int = SIZE, overlap: int = 0, threshold: int = LONG_DOCUMENT) -> list[tuple[int, int]]:
+    """pieces() of a text, or all of it if its estimated tokens are fewer than threshold."""
+    return pieces(text, max(len(text), 1)) if len(text.encode("utf-8", "surrogatepass")) // 4 < threshold else pieces(text, size, overlap)
+
+
 def chunk(docs: DataFrame, size: int = SIZE, overlap: int = 0, threshold: int = LONG_DOCUMENT) -> DataFrame:
     """(doc_id, chunk_id, text, start_char, end_char, start_byte, end_byte) [DOM1, FLT6, FLT7, WIN1].
 
@@ -73,10 +78,8 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = 0, threshold: int =
             yield pd.Series([None if t is None else rows(t) for t in s], dtype=object)
 
     def rows(t: str) -> list[tuple]:
-        b = len(t.encode("utf-8", "surrogatepass"))
-        spans = pieces(t, max(len(t), 1)) if b // 4 < threshold else pieces(t, size, overlap)
         out, seen, at = [], 0, 0
-        for lo, hi in spans:
+        for lo, hi in chunk_spans(t, size, overlap, threshold):
             # Pieces may overlap, so bytes are counted on from the last start.
             seen += len(t[at:lo].encode("utf-8", "surrogatepass"))
             at = lo

@@ -9,6 +9,7 @@ sentences back.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -126,6 +127,22 @@ def guided_antecedents(found: DataFrame, entities: DataFrame) -> DataFrame:
     return e.unionByName(p).withColumn("antecedent", last["entity"]).filter("pronoun_type IS NOT NULL").drop("entity")
 
 
+def rewrite_guided(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """[DOM4] (doc_id, resolved_text, n_replaced): pronouns replaced by the last of entities (doc_id, sentence, entity) in an earlier sentence.
+
+    guided_antecedents() has the same choices as rows, which clusters() and mention_map() take. Documents without entities stay as they
+    are; null texts stay null. A document's entities are joined with it, so only they and texts with one are shuffled by document.
+    """
+
+    @F.pandas_udf("struct<resolved_text string, n_replaced long>")
+    def run(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
+        r = Rewriter()
+        return pd.DataFrame([(None, None) if t is None else r.rewrite(t, () if k is None else [(e["sentence"], e["entity"]) for e in k]) for t, k in zip(texts, known)], columns=["resolved_text", "n_replaced"]).astype({"n_replaced": "Int64"})
+
+    own = entities.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("sentence", "entity"))).alias("known"))
+    return docs.select("doc_id", "text").join(own, "doc_id", "left").select("doc_id", run("text", "known").alias("r")).select("doc_id", "r.*")
+
+
 class Rewriter:
     """Replaces the pronouns of a text by their antecedents; a possessive form gets 's."""
 
@@ -143,8 +160,8 @@ class Rewriter:
             return any(m in name for m in T.ORGANISATION_MARKS)
         return " and " in name or name.endswith("s")
 
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, replacement), left to right."""
+    def spans(self, text: str, known: list[tuple[int, str]] | None = None) -> list[tuple[int, int, str]]:
+        """(start, end, replacement), left to right; with known (sentence, name) in order, a pronoun is the last of an earlier sentence."""
         out, last, number, start = [], {}, 0, 0
         if not self.pronoun.search(text):
             return out
@@ -158,7 +175,11 @@ class Rewriter:
                         hi -= 1
                     bare = part[lo:hi]
                     kind = self.kinds.get(bare.lower())
-                    if kind is None:
+                    if known is not None:
+                        at = bisect_left(known, (number, ""))
+                        if kind is not None and at:
+                            out.append((start + lo, start + hi, known[at - 1][1] + ("'s" if bare.lower() in self.owns else "")))
+                    elif kind is None:
                         for k in T.PRONOUNS:
                             if self.fits(bare, k):
                                 last[k] = (number, bare)
@@ -168,8 +189,8 @@ class Rewriter:
             start += len(part) + 1
         return out
 
-    def rewrite(self, text: str) -> tuple[str, int]:
-        spans, at, parts = self.spans(text), 0, []
+    def rewrite(self, text: str, known: list[tuple[int, str]] | None = None) -> tuple[str, int]:
+        spans, at, parts = self.spans(text, known), 0, []
         for lo, hi, new in spans:
             parts += [text[at:lo], new]
             at = hi

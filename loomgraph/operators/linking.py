@@ -9,14 +9,16 @@ labels' 3-grams, and what comes out is verified.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import jsonld as J
 from ..functions.text import jaro_winkler_similarity
-from .sizing import maybe_broadcast
+from .annotation import link_annotated
 
 EXACT_SCORE = 0.95
 FUZZY_THRESHOLD = 0.8
@@ -31,21 +33,18 @@ def _names(names: DataFrame) -> DataFrame:
 def exact_candidates(names: DataFrame, labels: DataFrame) -> DataFrame:
     """(name, uri, label, confidence) for labels (uri, label) equal to a name but for case [JOIN1, FLT10]."""
     keyed = labels.select("uri", "label", F.lower("label").alias("name_lc"))
-    return _names(names).join(maybe_broadcast(keyed), "name_lc").select("name", "uri", "label", F.lit(EXACT_SCORE).alias("confidence"))
+    return _names(names).join(keyed, "name_lc").select("name", "uri", "label", F.lit(EXACT_SCORE).alias("confidence"))
 
 
-def containing(names: DataFrame, labels: DataFrame) -> DataFrame:
-    """(name, name_lc, uri, label, label_lc): labels that contain the name [FLT11], by a nested loop. For small inputs, and to test the rewrite against."""
-    keyed = labels.select("uri", "label", F.lower("label").alias("label_lc"))
-    return _names(names).join(keyed, F.col("label_lc").contains(F.col("name_lc")))
-
+def _grams(x: str, size: int = GRAM) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substr(F.col(x), i, F.lit(size))))
 
-def _grams(x: str) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - GRAM + 1), lambda i: F.substr(F.col(x), i, F.lit(GRAM))))
 
+def containing(names: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, name_lc, uri, label, label_lc): labels that contain the name [FLT11, FN14], by way of each name's rarest 3-gram.
 
-def containing_blocked(names: DataFrame, labels: DataFrame) -> DataFrame:
-    """The same rows as containing(), by way of each name's rarest 3-gram. Shorter names are few distinct ones and go through the loop."""
+    A shorter name is itself a gram of the labels that contain it. All joins are by equality.
+    """
     own = _names(names)
     distinct = labels.select(F.lower("label").alias("label_lc")).distinct()  # grams of a label that many uris share are made once
     index = distinct.filter(F.length("label_lc") >= GRAM).select("label_lc", F.explode(_grams("label_lc")).alias("gram"))
@@ -55,14 +54,16 @@ def containing_blocked(names: DataFrame, labels: DataFrame) -> DataFrame:
     # A gram that no label has makes n null: the name is in no label, and its least gram finds none.
     rarest = probe.groupBy("name", "name_lc").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
     hits = rarest.join(index, "gram").filter(F.col("label_lc").contains(F.col("name_lc"))).select("name", "name_lc", "label_lc")
-    short = own.filter(F.length("name_lc") < GRAM)
-    hits = hits.unionByName(short.join(distinct, F.col("label_lc").contains(F.col("name_lc"))).select("name", "name_lc", "label_lc"))
+    for size in range(1, GRAM):
+        short = own.filter(F.length("name_lc") == size)
+        pieces = distinct.filter(F.length("label_lc") >= size).select("label_lc", F.explode(_grams("label_lc", size)).alias("name_lc"))
+        hits = hits.unionByName(short.join(pieces, "name_lc").select("name", "name_lc", "label_lc"))
     return hits.join(labels.select("uri", "label", F.lower("label").alias("label_lc")), "label_lc").select("name", "name_lc", "uri", "label", "label_lc")
 
 
 def fuzzy_candidates(names: DataFrame, labels: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """(name, uri, label, confidence): labels that contain the name and are similar to it [JOIN2, FLT9, FN5]; similarity is worked out once a pair of strings."""
-    hits = containing_blocked(names, labels)
+    hits = containing(names, labels)
     pairs = hits.select("name_lc", "label_lc").distinct().withColumn("confidence", F.when(F.col("name_lc") == F.col("label_lc"), F.lit(1.0)).otherwise(jaro_winkler_similarity("name_lc", "label_lc")))
     return hits.join(pairs.filter(F.col("confidence") >= threshold), ["name_lc", "label_lc"]).select("name", "uri", "label", "confidence")
 
@@ -78,7 +79,8 @@ def typo_candidates(names: DataFrame, labels: DataFrame, max_edits: int = 2) ->
     lengths = own.select(F.length("name_lc").alias("n")).distinct()
     lab = labels.select(F.lower("label").alias("label_lc")).distinct()
     # A label is cut in the way of each length of name that is near its own.
-    near = lab.join(maybe_broadcast(lengths), F.abs(F.length("label_lc") - F.col("n")) <= max_edits)
+    around = F.sequence(F.length("label_lc") - max_edits, F.length("label_lc") + max_edits)
+    near = lab.select("label_lc", F.explode(around).alias("n")).join(lengths, "n")
     cut = lambda k: F.floor(F.col("n") * k / parts).cast("int")
 
     def places(k: int) -> Column:
@@ -122,17 +124,71 @@ def ambiguous(candidates: DataFrame, min_confidence: float = MIN_CONFIDENCE) ->
     return candidates.filter(F.col("confidence") >= min_confidence).groupBy("name").agg(F.count("*").alias("n_candidates")).filter("n_candidates >= 2")
 
 
-def link(names: DataFrame, labels: DataFrame, strategy: str = "local", fuzzy: bool = True) -> DataFrame:
-    """[DOM11, DOM14] (name, uri, label, confidence) by strategy: none (no links), exact or local (exact, then fuzzy for what is left)."""
-    if strategy == "none":
-        return best_links(exact_candidates(names, labels)).filter(F.lit(False))
-    if strategy not in ("local", "exact"):
+@dataclass(frozen=True)
+class Knowledge:
+    """What strategies may use: labels (uri, label), annotations of texts as annotate() gives them, and whether local linking is fuzzy."""
+
+    labels: DataFrame
+    annotated: DataFrame | None = None
+    fuzzy: bool = True
+
+
+def _no_candidates(names: DataFrame, given: Knowledge) -> DataFrame:
+    return exact_candidates(names, given.labels).filter(F.lit(False))
+
+
+def _local(names: DataFrame, given: Knowledge) -> DataFrame:
+    exact = exact_candidates(names, given.labels)
+    if not given.fuzzy:
+        return exact
+    return exact.unionByName(fuzzy_candidates(_names(names).join(exact, "name", "left_anti"), given.labels))
+
+
+def _remote(names: DataFrame, given: Knowledge) -> DataFrame:
+    if given.annotated is None:
+        raise ValueError("linking by a service needs its annotations")
+    return link_annotated(names, given.annotated, 0.0).select("text", "name", "uri", "label", "confidence")
+
+
+#: [EXT7, HK3] candidates (name, uri, label, confidence) by name of strategy; more can be added. Where a strategy looks at the text that a
+#: name is from, names and candidates have the column text too.
+STRATEGIES: dict[str, Callable[[DataFrame, Knowledge], DataFrame]] = {
+    "none": _no_candidates,
+    "wikidata": _no_candidates,  # has no look-up of its own
+    "exact": lambda names, given: exact_candidates(names, given.labels),
+    "local": _local,
+    "remote": _remote,
+}
+
+
+def candidates_by(names: DataFrame, given: Knowledge, strategy: str) -> DataFrame:
+    if strategy not in STRATEGIES:
         raise ValueError(f"no such strategy of linking: {strategy}")
-    exact = exact_candidates(names, labels)
-    if strategy == "exact" or not fuzzy:
-        return best_links(exact)
-    left = _names(names).join(exact, "name", "left_anti")
-    return best_links(exact.unionByName(fuzzy_candidates(left, labels)))
+    return STRATEGIES[strategy](names, given)
+
+
+def link(names: DataFrame, labels: DataFrame, strategy: str = "local", fuzzy: bool = True, annotated: DataFrame | None = None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """[DOM11, DOM14] (name, uri, label, confidence), one a name, by a strategy of STRATEGIES; with remote, names are (text, name) and the result has the text too."""
+    found = candidates_by(names, Knowledge(labels, annotated, fuzzy), strategy)
+    return found.filter(F.col("confidence") >= min_confidence) if "text" in found.columns else best_links(found, min_confidence)
+
+
+def link_documents(docs: DataFrame, labels: DataFrame, strategy: str = "local", fuzzy: bool = True, annotated: DataFrame | None = None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(doc_id, jsonld, n_names, n_linked) of documents (doc_id, jsonld): each object whose name is linked gets the @id [DOM10, JOIN5, JOIN6].
+
+    The names of all documents are linked once each, and links come back by name. With remote, documents are (doc_id, jsonld, text) and a
+    name is looked for in the annotations of its text. A document without links, null or not JSON stays as it is.
+    """
+    by = ["text", "name"] if strategy == "remote" else ["name"]
+    keep = ["doc_id", *(["text"] if strategy == "remote" else [])]
+    own = docs.select(*keep, F.explode(J.names(F.col("jsonld"))).alias("name"))
+    links = link(own.select(*by).distinct(), labels, strategy, fuzzy, annotated, min_confidence)
+    met = own.join(links.select(*by, "uri"), by, "left")
+    known = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("uri").isNotNull(), F.struct("name", "uri")))))
+    uris = met.select("doc_id", "name", "uri").distinct().groupBy("doc_id").agg(known.alias("uris"), F.count("*").alias("n_names"), F.count("uri").alias("n_linked"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = docs.select("doc_id", "jsonld").join(uris, "doc_id", "left")
+    return rows.select("doc_id", J.enriched(F.col("jsonld"), F.when(F.col("n_linked") > 0, F.col("uris"))).alias("jsonld"), zero("n_names"), zero("n_linked"))
 
 
 def link_rate(names: DataFrame, links: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonld as J
 from ..functions import text as T
-from .sizing import maybe_broadcast
 
 
 def _kind(v: Column) -> Column:
@@ -28,7 +27,7 @@ def _fields(rows: DataFrame, of: str) -> DataFrame:
 def _stemmed(rows: DataFrame) -> DataFrame:
     """Predicates stemmed once for each distinct one [FN2]."""
     stems = rows.select("key").distinct().select("key", T.predicate_stem("key").alias("p"))
-    return rows.join(maybe_broadcast(stems), "key")
+    return rows.join(stems, "key")
 
 
 def _nodes(docs: DataFrame, text: str) -> DataFrame:

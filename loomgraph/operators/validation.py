@@ -56,11 +56,15 @@ def _found(v: Column, text: Column, rules: list, settings: Settings) -> Column:
 
 def _judged(docs: DataFrame, rules: DataFrame, settings: Settings, text: str) -> DataFrame:
     """(doc_id, found): one scan, one parse and no join; a rule is part of the expression."""
+    parsed = docs.select("doc_id", F.col(text).alias("text"), F.try_parse_json(text).alias("v"))
+    return parsed.select("doc_id", _found(F.col("v"), F.col("text"), _few(rules), settings).alias("found"))
+
+
+def _few(rules: DataFrame) -> list:
     given = rules.limit(MOST_RULES + 1).collect()
     if len(given) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    parsed = docs.select("doc_id", F.col(text).alias("text"), F.try_parse_json(text).alias("v"))
-    return parsed.select("doc_id", _found(F.col("v"), F.col("text"), given, settings).alias("found"))
+    return given
 
 
 def violations(docs: DataFrame, rules: DataFrame, settings: Settings = Settings(), text: str = "jsonld") -> DataFrame:
@@ -96,12 +100,17 @@ def _verdict(impact: Column, n_errors: Column, n_warnings: Column, settings: Set
     return [((whole(n_errors) == 0) & (confidence >= settings.min_confidence)).alias("valid"), confidence.alias("confidence"), whole(n_errors).alias("n_errors"), whole(n_warnings).alias("n_warnings")]
 
 
+def with_verdict(docs: DataFrame, rules: DataFrame, settings: Settings = Settings(), text: str = "jsonld") -> DataFrame:
+    """docs, with all their columns, and valid, confidence, n_errors, n_warnings [DOM18]: violations() and verdicts() in one narrow pass."""
+    rows = docs.withColumn("__v", F.try_parse_json(text)).withColumn("__found", _found(F.col("__v"), F.col(text), _few(rules), settings))
+    impact = F.aggregate("__found", F.lit(0.0), lambda n, x: n + x["confidence_impact"])
+    n = lambda severity: F.size(F.filter("__found", lambda x: x["severity"] == severity))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), *_verdict(impact, n("error"), n("warning"), settings))
+
+
 def validate(docs: DataFrame, rules: DataFrame, settings: Settings = Settings(), text: str = "jsonld") -> DataFrame:
-    """(doc_id, valid, confidence, n_errors, n_warnings) of every row of docs [DOM18]: violations() and verdicts() in one narrow pass."""
-    rows = _judged(docs, rules, settings, text)
-    impact = F.aggregate("found", F.lit(0.0), lambda n, x: n + x["confidence_impact"])
-    n = lambda severity: F.size(F.filter("found", lambda x: x["severity"] == severity))
-    return rows.select("doc_id", *_verdict(impact, n("error"), n("warning"), settings))
+    """(doc_id, valid, confidence, n_errors, n_warnings) of every row of docs."""
+    return with_verdict(docs.select("doc_id", text), rules, settings, text).drop(text)
 
 
 def verdicts(docs: DataFrame, found: DataFrame, settings: Settings = Settings()) -> DataFrame:

