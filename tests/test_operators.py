@@ -249,12 +249,12 @@ GOOD = '{"@context": "c", "@type": "Person", "name": "A B"}'
 
 def test_retries():
     p = Scripted(["no", '{"@context": "c"}', f"```json\n{GOOD}\n```"])
-    doc, attempts, error = extraction.extract_one(p, "text")
-    assert (json.loads(doc)["name"], attempts, error) == ("a_b", 3, None)
+    doc, attempts, error, detail = extraction.extract_one(p, "text")
+    assert (json.loads(doc)["name"], attempts, error, detail) == ("a_b", 3, None, None)
     assert extraction.HINTS["no_type"] in p.asked[2][-1][1]
-    assert extraction.extract_one(Scripted(["x"] * 3), "t") == (None, 3, "not_json")
-    assert extraction.extract_one(Scripted([extraction.TransportError("down"), GOOD]), "t") == (None, 1, "transport: down")
-    assert extraction.extract_one(Scripted(['{"x": 1}']), "t", extraction.Options(inject_context=True, strict=False))[1:] == (1, None)
+    assert extraction.extract_one(Scripted(["x"] * 3), "t")[:3] == (None, 3, "not_json")
+    assert extraction.extract_one(Scripted([extraction.TransportError("down"), GOOD]), "t") == (None, 1, "transport", "down")
+    assert extraction.extract_one(Scripted(['{"x": 1}']), "t", extraction.Options(inject_context=True, strict=False))[1:] == (1, None, None)
 
 
 def test_documents_are_extracted_chunk_by_chunk(spark):

@@ -53,7 +53,23 @@ def test_order_limit_and_asking(graph, spark):
     assert got == {1: True, 2: False, 3: False, 4: False}
 
 
-@pytest.mark.parametrize("query", ["", "SELECT WHERE { ?x ?y ?z }", "SELECT ?x { ?x <p> }", "SELECT ?x { ?x nope:p ?y }", "SELECT ?x { ?x <p> ?y FILTER(MAGIC(?y)) }", "DELETE { ?x ?y ?z }", "SELECT ?x { ?x <p> ?y } GROUP", "SELECT ?x { OPTIONAL { ?x <p> ?y } }", "SELECT ?x { §", "ASK { ?x <p> ?y }"])
+def test_exists_minus_bind_and_values(graph):
+    assert rows(graph, "SELECT ?x ?y WHERE { OPTIONAL { ?x <nothing> ?y } }") == [(None, None)]
+    assert rows(graph, "SELECT ?x ?l WHERE { OPTIONAL { ?x <label> ?l } }") == [("c", "coast")]
+    assert rows(graph, "SELECT ?x WHERE { ?x <name> ?n FILTER EXISTS { ?x <knows> ?y } }") == [("a",), ("b",)]
+    assert rows(graph, "SELECT ?x WHERE { ?x <name> ?n FILTER NOT EXISTS { ?x <knows> ?y } }") == [("c",)]
+    assert rows(graph, "SELECT ?x WHERE { ?x <name> ?n MINUS { ?x <type> <Place> } }") == [("a",), ("b",)]
+    assert rows(graph, "SELECT ?x ?k WHERE { ?x <age> ?a BIND(?a + 1 AS ?k) FILTER(?k = 31) }")[0][0] == "a"
+    assert rows(graph, "SELECT ?x ?n WHERE { VALUES ?x { <a> <c> } ?x <name> ?n }") == [("a", "Ann"), ("c", 'Coast "x"')]
+
+
+def test_paths_and_groups(graph):
+    assert rows(graph, "SELECT ?n WHERE { <a> <knows>/<name> ?n }") == [("Bob",)]
+    assert rows(graph, "SELECT ?v WHERE { <c> (<name>|<label>) ?v }") == [('Coast "x"',), ("coast",)]
+    assert rows(graph, "SELECT ?t (COUNT(?x) AS ?n) WHERE { ?x <type> ?t } GROUP BY ?t") == [("Person", 2), ("Place", 1)]
+
+
+@pytest.mark.parametrize("query", ["", "SELECT WHERE { ?x ?y ?z }", "SELECT ?x { ?x <p> }", "SELECT ?x { ?x nope:p ?y }", "SELECT ?x { ?x <p> ?y FILTER(MAGIC(?y)) }", "DELETE { ?x ?y ?z }", "SELECT ?x { ?x <p> ?y } GROUP", "SELECT ?x { §", "ASK { ?x <p> ?y }"])
 def test_what_is_outside_the_subset_is_an_error(graph, query):
     with pytest.raises(sparql.SparqlError):
         sparql.select(graph, query)
