@@ -16,27 +16,27 @@ from loomgraph.llm.common import remove, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose repetition is within the limits."""
+    """Documents whose repetition is within the limits. Null texts go, empty ones stay; each repeated row is judged by itself."""
     return quality.repetition_filter(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set with the same text: the one with the smallest doc_id."""
+    """One document of each set with the same text: the one with the smallest doc_id. Null texts stay, and one of the empty ones."""
     return exact.exact_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Null and empty texts and rows without an id stay."""
     return simhash.near_dedup(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mask in place of each secret."""
+    """All documents, with a mask in place of each secret. Null and empty texts stay as they are; each repeated row is cleaned."""
     return secrets.redact_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of documents in each training window."""
+    """The pieces of documents in each training window. Null and empty texts and rows without an id are in none; an id counts once."""
     return packing.pack_related(docs)
 
 
