@@ -2,8 +2,9 @@
 
 1. Each text becomes a point: its hashed word counts, damped and normalised. Nearness is that of these
    whole profiles. Documents of one profile are one point; they follow one another.
-2. Centres of a sample part the points into cells of some thousand. Every point is compared with all
-   points of the PROBES cells whose centres are nearest to it; with no more cells than that the graph is exact.
+2. Centres of a sample part the points into cells of some thousand, dense ones too. Every point is compared with all
+   points of its own cell and of those, PROBES in all, that promise the nearest points: a tight cell promises what is at
+   its centre, a loose one also what lies off it. With no more cells than that the graph is exact.
 3. Neighbouring cells make regions of up to REGION points. In each, paths start at the unvisited point of lowest
    degree and step to the nearest unvisited neighbour until there is none; the next path follows.
 4. Windows of a fixed number of tokens are filled along the paths; a document that doesn't fit is continued in
@@ -36,7 +37,10 @@ OWN, LOOKING = 20_000, 100_000
 REGION = 100_000
 #: Points from which the centres are made: so many a cell, within these bounds.
 CENTRE_POINTS, LEAST_POINTS, MOST_POINTS = 32, 4096, 50_000
-SPLITS = 2
+#: Cells of more than so many times the mean of the sample's points are parted, in so many rounds at most.
+LARGE, SPLITS = 4, 60
+#: How far off the centres' plane the nearest of a cell's points reach towards a point, as a share of what both have off it.
+SPREAD = 0.3
 #: Parts that the documents of one profile are dealt to for their order.
 SALT = 64
 
@@ -65,7 +69,7 @@ def tokens_of(texts: list[str | None]) -> np.ndarray:
 
 
 def vectors(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, v): tokens and word counts of each row; v has the counts' lowest bytes first, then the next, so that it packs well."""
+    """(doc_id, n, v): tokens and word counts of each row; v has the counts' lowest bytes first, then the next as far as a count has any, so that it is short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, chunk in chunks(batches):
@@ -76,20 +80,30 @@ def vectors(texts: DataFrame) -> DataFrame:
 
 def _as_bytes(counts: np.ndarray) -> pa.Array:
     planes = np.ascontiguousarray(counts, "<u4").view(np.uint8).reshape(len(counts), BUCKETS, 4).transpose(0, 2, 1)
-    return pa.array([row.tobytes() for row in planes], pa.binary())
+    most = counts.max(axis=1)
+    used = 1 + sum((most >> 8 * k > 0).astype(int) for k in (1, 2, 3))
+    return pa.array([row[:n].tobytes() for row, n in zip(planes, used)], pa.binary())
 
 
-def _as_rows(v: pa.Array) -> np.ndarray:
+def _counts(v: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The word counts that _as_bytes() packed."""
+    rows = v.to_pylist()
+    if max(map(len, rows), default=0) <= BUCKETS:
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), BUCKETS)
+    raw = np.frombuffer(b"".join(r.ljust(4 * BUCKETS, b"\0") for r in rows), np.uint8)
+    return np.ascontiguousarray(raw.reshape(len(rows), 4, BUCKETS).transpose(0, 2, 1)).view("<u4")[:, :, 0]
+
+
+def _as_rows(v: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Profiles of v."""
-    raw = np.frombuffer(b"".join(v.to_pylist()), np.uint8)
-    return _unit(np.ascontiguousarray(raw.reshape(len(v), 4, BUCKETS).transpose(0, 2, 1)).view("<u4")[:, :, 0])
+    return _unit(_counts(v))
 
 
 def centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
-    """Unit vectors, one a cell, near which the sample's points lie: spherical k-means from a fixed start, and again, SPLITS times at most, within cells of over twice the mean size."""
+    """Unit vectors, one a cell, near which the sample's points lie: spherical k-means from a fixed start, and again within cells of over LARGE times the mean size until there are none."""
     if not len(sample):
         return np.zeros((1, BUCKETS), np.float32)
-    most = 2 * max(1, len(sample) // max(1, cells))
+    most = LARGE * max(1, len(sample) // max(1, cells))
     c = _k_means(sample, cells, rounds)
     for _ in range(SPLITS):
         near = _nearest_of(sample, c)
@@ -101,6 +115,27 @@ def centres(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def tightness(sample: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """The mean product of each cell's points with its centre; that of all points where the sample has none."""
+    near = _nearest_of(sample, middle) if len(sample) else np.empty(0, np.int64)
+    n, along = np.bincount(near, minlength=len(middle)), (sample * middle[near]).sum(axis=1)
+    total = np.bincount(near, along, minlength=len(middle))
+    return np.clip(np.where(n > 0, total / np.maximum(n, 1), along.mean() if len(along) else 1), 0, 1).astype(np.float32)
+
+
+def cells_of(x: np.ndarray, middle: np.ndarray, tight: np.ndarray, probes: int) -> np.ndarray:
+    """For each of x the cell of the nearest centre, and then the others of the `probes` that promise the nearest points, best first.
+
+    What a cell promises is the product with its mean point, and SPREAD of the product of the parts of both off its centre.
+    """
+    s = x @ middle.T
+    home = s.argmax(axis=1)
+    promise = s * tight + SPREAD * np.sqrt(1 - tight * tight) * np.sqrt(np.maximum(0, 1 - s * s))
+    promise[np.arange(len(x)), home] = np.inf
+    near = np.argpartition(-promise, probes - 1, axis=1)[:, :probes] if probes < len(middle) else np.tile(np.arange(probes), (len(x), 1))
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(promise, near, 1), axis=1, kind="stable"), 1)
+
+
 def _nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[lo : lo + 4096] @ c.T).argmax(axis=1) for lo in range(0, len(x), 4096)])
 
@@ -122,6 +157,18 @@ def _true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
 
+def _nearest(q: np.ndarray, row: np.ndarray, y: np.ndarray, col: np.ndarray, ids: np.ndarray, k: int, lo: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lo + index into q, id, squared distance) of the k nearest of the pairs q[row], y[col], by (distance in double precision, col)."""
+    d = np.empty(len(row))
+    for a in range(0, len(row), 256):  # in the cache
+        gap = np.subtract(q[row[a : a + 256]], y[col[a : a + 256]], dtype=np.float64)
+        d[a : a + 256] = np.einsum("ij,ij->i", gap, gap)
+    order = np.lexsort((col, d, row))
+    row, col, d = row[order], col[order], d[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return lo + row[keep], ids[col[keep]], d[keep]
+
+
 def most_alike(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index into x, id, squared distance) of the k nearest of y (ids ascending) for each of x, by (distance, id), but for its own row. All have unit length.
 
@@ -136,6 +183,14 @@ def most_alike(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k
         me = mine[lo : lo + 512]
         n = len(q)
         best, score = np.empty((n, 0), np.int64), np.empty((n, 0), np.float32)
+        if len(y) <= 2048:  # one block: those that may be among the k at once
+            s = q @ y.T
+            here = np.flatnonzero(me >= 0)
+            s[here, me[here]] = -2
+            kth = np.partition(s, len(y) - k, axis=1)[:, len(y) - k, None] if len(y) > k else np.float32(-2)
+            row, col = _true((s >= kth - 1e-4) & (s > -2))
+            found.append(_nearest(q, row, y, col, ids, k, lo))
+            continue
         for b in range(0, len(y), 2048):
             s = q @ y[b : b + 2048].T
             here = np.flatnonzero((me >= b) & (me < b + s.shape[1]))
@@ -163,13 +218,7 @@ def most_alike(x: np.ndarray, own: np.ndarray, y: np.ndarray, ids: np.ndarray, k
                 best, score = np.zeros((n, most), np.int64), np.full((n, most), -2, np.float32)
                 best[row[keep], rank[keep]], score[row[keep], rank[keep]] = col[keep], v[keep]
         row, place = np.nonzero((score > -2) & (score >= score[:, min(k, most) - 1, None] - 1e-4))  # the others are farther than k of these
-        col = best[row, place]
-        gap = q[row].astype(float) - y[col]
-        d = (gap * gap).sum(axis=1)
-        order = np.lexsort((col, d, row))
-        row, col, d = row[order], col[order], d[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        found.append((lo + row[keep], ids[col[keep]], d[keep]))
+        found.append(_nearest(q, row, y, best[row, place], ids, k, lo))
     return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, int), np.empty(0, np.int64), np.empty(0))
 
 
@@ -206,19 +255,16 @@ def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL, probe
     cells = max(1, -(-total // cell_size))
     share = min(1.0, min(MOST_POINTS, max(LEAST_POINTS, CENTRE_POINTS * cells)) / max(1, total))
     sample = pts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "v").toArrow().sort_by("doc_id")
-    middle = centres(_as_rows(sample["v"]), cells)
+    drawn = _as_rows(sample["v"])
+    middle = centres(drawn, cells)
+    tight = tightness(drawn, middle)
     probed = min(probes, len(middle))
 
-    def rated(x: np.ndarray, n: int) -> np.ndarray:
-        s = x @ middle.T
-        near = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(middle) else np.tile(np.arange(n), (len(x), 1))
-        return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 2000):
                 c = b.slice(lo, 2000)
-                near = rated(_as_rows(c.column("v")), probed)
+                near = cells_of(_as_rows(c.column("v")), middle, tight, probed)
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("v"), pa.array(near.astype("<i4").reshape(-1)[::probed]), pa.array([r.tobytes() for r in near.astype("<i4")], pa.binary())], ["doc_id", "v", "cell", "near"])
 
     placed = cut(pts.select("doc_id", "v").mapInArrow(place, "doc_id long, v binary, cell int, near binary"))
@@ -235,6 +281,7 @@ def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL, probe
     sizes[counted["cell"].to_numpy()], looks[counted["cell"].to_numpy()] = counted["own"].to_numpy(), counted["looks"].to_numpy()
     blocks, parts = np.maximum(1, -(-sizes // own)), np.maximum(1, -(-looks // looking))
     first, many = regions(middle, sizes, region)
+    group, _ = regions(middle, looks, looking)  # cells near each other go to one task, so the copies of a point lie side by side in what is shuffled
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,10 +292,9 @@ def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL, probe
         for b in batches:
             for lo in range(0, len(b), 1000):
                 c = b.slice(lo, 1000)
-                raw = np.frombuffer(b"".join(c.column("v").to_pylist()), np.uint8).reshape(len(c), -1)
                 ids, cell = c.column("doc_id").to_numpy(), c.column("cell").to_numpy()
                 near = np.frombuffer(b"".join(c.column("near").to_pylist()), "<i4").reshape(len(c), -1)
-                row = np.flatnonzero(raw.any(axis=1))
+                row = np.flatnonzero(_counts(c.column("v")).any(axis=1))
                 # Its own cell's block in each part of those that look, and a part in each block of the cells it looks through.
                 a = np.repeat(row, parts[cell[row]])
                 ka = cell[a], ids[a] % blocks[cell[a]], np.arange(len(a)) - np.searchsorted(a, a)
@@ -257,8 +303,9 @@ def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL, probe
                 z = np.repeat(np.arange(len(q)), blocks[to])
                 kz = to[z], np.arange(len(z)) - np.searchsorted(z, z), ids[q[z]] % parts[to[z]]
                 who = np.concatenate((a, q[z]))
-                key = [pa.array(np.concatenate((p, r)).astype(np.int32)) for p, r in zip(ka, kz)]
-                yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pa.array(who)), c.column("v").take(pa.array(who)), *key, pa.array(np.arange(len(who)) >= len(a))], ["doc_id", "v", "cell", "block", "part", "looks"])
+                key = [np.concatenate((p, r)).astype(np.int32) for p, r in zip(ka, kz)]
+                key = [pa.array(z) for z in (group[key[0]] + key[2], *key)]
+                yield pa.RecordBatch.from_arrays([c.column("doc_id").take(pa.array(who)), c.column("v").take(pa.array(who)), *key, pa.array(np.arange(len(who)) >= len(a))], ["doc_id", "v", "grp", "cell", "block", "part", "looks"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, y, ids = None, [], []
@@ -278,8 +325,8 @@ def neighbours(pts: DataFrame, k: int = NEIGHBOURS, cell_size: int = CELL, probe
                     row, other, d = most_alike(x, mine, y[0], ids[0], k)
                     yield pa.RecordBatch.from_arrays([pa.array(mine[row]), pa.array(other), pa.array(d)], ["doc_id", "other", "d2"])
 
-    dealt = placed.mapInArrow(deal, "doc_id long, v binary, cell int, block int, part int, looks boolean")
-    met = dealt.repartition("cell", "block", "part").sortWithinPartitions("cell", "block", "part", "looks", "doc_id").mapInArrow(look, "doc_id long, other long, d2 double")
+    dealt = placed.mapInArrow(deal, "doc_id long, v binary, grp long, cell int, block int, part int, looks boolean")
+    met = dealt.repartition("grp", "block").sortWithinPartitions("cell", "block", "part", "looks", "doc_id").mapInArrow(look, "doc_id long, other long, d2 double")
     best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "other"))), 1, k)  # of k a cell and block
     edges = met.groupBy("doc_id").agg(best.alias("z")).select("doc_id", F.posexplode("z").alias("rank", "e")).select("doc_id", F.col("e.other").alias("other"), "rank", F.col("e.d2").alias("d2"))
     return placed.select("doc_id", "cell").mapInArrow(home, "doc_id long, region long"), edges

@@ -101,6 +101,33 @@ def test_many_rows_are_searched_in_blocks():
     assert (np.sort(other.reshape(700, 6), axis=1) == np.sort(want, axis=1)).mean() > 0.999
 
 
+def test_dense_cells_are_parted(spark, small):
+    """Long texts of one language lie densely; with many cells none holds a large share of the points, and those looked through hold the neighbours."""
+    texts = [r.text for r in spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet").select("text").dropDuplicates().orderBy("text").collect()]
+    x = np.concatenate([packing.profiles(texts[lo : lo + 500])[1] for lo in range(0, len(texts), 500)])
+    x = x[np.random.default_rng(1).permutation(len(x))]
+    sample = x[:4096]
+    middle = packing.centres(sample, 79)
+    assert np.bincount(packing._nearest_of(sample, middle)).max() <= 4 * (4096 // 79)
+    near = packing.cells_of(x, middle, packing.tightness(sample, middle), packing.PROBES)
+    assert (near[:, 0] == packing._nearest_of(x, middle)).all()
+    asked = np.flatnonzero(x[:500].any(axis=1))
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -1
+    home = near[np.argsort(-s, axis=1)[:, : packing.NEIGHBOURS], 0]
+    assert (home[:, :, None] == near[asked][:, None, :]).any(axis=2).mean() >= 0.9
+
+
+def test_counts_come_back_from_their_bytes():
+    r = np.random.default_rng(2)
+    small = r.integers(0, 256, (50, packing.BUCKETS))
+    large = small.copy()
+    large[3, 7], large[9, 0], large[20, 255] = 256, 70_000, 1 << 24
+    for c in (small, large):
+        v = packing._as_bytes(c)
+        assert (packing._counts(v) == c).all() and len(v[0].as_py()) == packing.BUCKETS
+
+
 def test_regions_are_bounded():
     r = np.random.default_rng(5)
     middle, sizes = r.random((40, 256)), r.integers(1, 100, 40)
