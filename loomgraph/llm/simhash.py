@@ -2,11 +2,11 @@
 
 A fingerprint is BLOCKS blocks of 23 bits, to which all words of a text count, by their
 length and the root of their count. The anchors of a block are the 4096 words of the binary Golay code, whose covering
-radius is 3 (it is perfect: each value is within 3 of exactly one anchor). A fingerprint goes to
-every anchor within 3 + THRESHOLD of its block. If two fingerprints differ by at most THRESHOLD
-bits in some block, the anchor at home for the first one's block (within 3) holds the second, so
-they are compared there; by the pigeonhole principle no pair within (THRESHOLD + 1) * BLOCKS - 1
-bits is ever missed. Pairs compared are near-duplicates if they differ by at most MAX_BITS in all.
+radius is 3 (it is perfect: each value is within 3 of exactly one anchor). A fingerprint looks at
+every anchor within 3 + 2 of its block, and is to be found at those within 3 + 1. If two fingerprints differ by at most
+THRESHOLD = 1 + 2 bits in some block, there is a value 1 bit from the one and 2 from the other, and the anchor within 3 of that
+value has both, so they are compared there. By the pigeonhole principle no pair within (THRESHOLD + 1) * BLOCKS - 1 bits
+is ever missed, and that is more than MAX_BITS. Pairs compared are near-duplicates if they differ by at most MAX_BITS in all.
 """
 
 from __future__ import annotations
@@ -28,18 +28,23 @@ from .kernel import mix, words
 BLOCKS = 8
 BLOCK_BITS = 23
 RADIUS = 3
-THRESHOLD = 2
-#: Of the 184 bits. Copies with 4 % of their words replaced differ by about 13; up to 23 bits no pair is missed.
+#: How far beyond RADIUS a fingerprint is to be found and looks; pairs within the sum of both in some block meet.
+FOUND, LOOKS = 1, 2
+THRESHOLD = FOUND + LOOKS
+#: Of the 184 bits. Copies with 4 % of their words replaced differ by about 13; no pair within this is missed.
 MAX_BITS = 30
 #: A word's weight grows with its length up to this many bytes: short ones are the same in all texts of a language.
 FULL_WEIGHT = 8
 #: Records that a task compares at once; anchors with more are dealt to several.
 GROUP_RECORDS = 1_000_000
+#: Neighbouring anchors that a group has at most. A fingerprint is sent once to a group, whichever of its anchors are near.
+SPAN = 512
 #: Removed ids up to this many bytes are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 _GENERATOR = 0b110001110101
 _MASK = (1 << BLOCK_BITS) - 1
-_WIRE = np.dtype([("place", "<u2"), ("home", "u1"), ("looks", "u1"), ("id", "<i8"), ("f", "<u8", (3,))])
+#: place: the anchor, or if span isn't 0 the first of so many among which the task finds those that are near.
+_WIRE = np.dtype([("place", "<u2"), ("span", "<u2"), ("home", "u1"), ("looks", "u1"), ("id", "<i8"), ("f", "<u8", (3,))])
 
 
 def _remainder(value: int) -> int:
@@ -51,23 +56,23 @@ def _remainder(value: int) -> int:
 
 @lru_cache(maxsize=1)
 def covering() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(syndrome tables for 3 bytes, offsets by syndrome, errors, weights): the errors of weight up to RADIUS + THRESHOLD."""
+    """(syndrome tables for 3 bytes, offsets by syndrome, errors, weights): the errors of weight up to RADIUS + LOOKS."""
     tables = np.array([[_remainder(b << (8 * k) & _MASK) for b in range(256)] for k in range(3)], np.uint32)
-    errors = [sum(1 << i for i in c) for n in range(RADIUS + THRESHOLD + 1) for c in combinations(range(BLOCK_BITS), n)]
+    errors = [sum(1 << i for i in c) for n in range(RADIUS + LOOKS + 1) for c in combinations(range(BLOCK_BITS), n)]
     syndrome = np.array([_remainder(e) for e in errors])
     order = np.argsort(syndrome, kind="stable")
     e = np.array(errors, np.uint32)[order]
     return tables, np.searchsorted(syndrome[order], np.arange(2049)), e, np.bitwise_count(e)
 
 
-def near_anchors(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into block, anchor, whether it is the one within RADIUS) for the anchors within RADIUS + THRESHOLD of each value."""
+def near_anchors(block: np.ndarray, home: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into block, anchor, whether it is within `home`) for the anchors within RADIUS + LOOKS of each value."""
     tables, offset, errors, weight = covering()
     s = tables[0][block & 0xFF] ^ tables[1][block >> 8 & 0xFF] ^ tables[2][block >> 16]
     n = offset[s + 1] - offset[s]
     row = np.repeat(np.arange(len(block)), n)
     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offset[s], n)
-    return row, (block[row] ^ errors[at]) >> 11, weight[at] <= RADIUS
+    return row, (block[row] ^ errors[at]) >> 11, weight[at] <= home
 
 
 def block_of(f: np.ndarray, k: int) -> np.ndarray:
@@ -130,11 +135,29 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def _spread(at: np.ndarray) -> np.ndarray:
+    """Records of spans as those of their anchors; the others as they are."""
+    wide = at["span"] > 0
+    sets = [at[~wide]]
+    for lo in range(0, len(at), 20_000):
+        part = at[lo : lo + 20_000][wide[lo : lo + 20_000]]
+        for first in np.unique(part["place"]):
+            own = part[part["place"] == first]
+            row, anchor, home = near_anchors(block_of(own["f"], int(first) >> 12), RADIUS + FOUND)
+            place = anchor | int(first) >> 12 << 12
+            inside = (place >= first) & (place < int(first) + own["span"][row])
+            new = own[row[inside]]
+            new["place"], new["span"], new["home"] = place[inside], 0, home[inside]
+            sets.append(new)
+    return np.concatenate(sets)
+
+
 def compare(at: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, least id connected with it) among the records of some anchors, where these differ. A pair has one at home.
+    """(id, least id connected with it) among the records of some anchors, where these differ. Of a pair, the lesser id is one to be found.
 
     Pairs are folded into connected sets a step at a time, so memory grows with the records and not with the pairs.
     """
+    at = _spread(at)
     at = at[np.lexsort((at["id"], at["place"]))]
     ids, item = np.unique(at["id"], return_inverse=True)
     label = np.arange(len(ids))
@@ -156,12 +179,13 @@ def compare(at: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
             continue
         own = at["f"][lo:hi]
         value = block_of(own, int(at["place"][lo]) >> 12)
-        step = max(1, 2_000_000 // len(looks))
+        step = max(1, 500_000 // len(looks))
         for k in range(0, len(home), step):
             x = home[k : k + step]
-            i, j = np.nonzero(np.bitwise_count(value[x][:, None] ^ value[looks][None, :]) <= THRESHOLD)
-            i, j = x[i], looks[j]
-            keep = i != j
+            y = looks[np.searchsorted(looks, x[0]) :]  # either of a pair may be the one to be found, so greater ids will do
+            i, j = np.divmod(np.flatnonzero(np.bitwise_count(value[x][:, None] ^ value[y][None, :]) <= THRESHOLD), max(1, len(y)))
+            i, j = x[i], y[j]
+            keep = item[i + lo] < item[j + lo]
             i, j = i[keep], j[keep]
             close = distance(own[i], own[j]) <= max_bits
             if close.any():
@@ -185,24 +209,42 @@ def _fingerprint_frame(texts: DataFrame) -> DataFrame:
 
 
 def _records(f: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """What fingerprints send to anchors: all that are near look, and those at home are looked for."""
+    """What fingerprints send to anchors: all that are near look, and those that are nearer still are looked for."""
+    sets = []
+    for k in range(BLOCKS):
+        row, anchor, home = near_anchors(block_of(f, k), RADIUS + FOUND)
+        wire = np.empty(len(row), _WIRE)
+        wire["place"], wire["span"], wire["home"], wire["looks"], wire["id"], wire["f"] = anchor | k << 12, 0, home, 1, ids[row], f[row]
+        sets.append(wire)
+    return np.concatenate(sets)
+
+
+def _to_spans(f: np.ndarray, ids: np.ndarray, group: np.ndarray, first: np.ndarray, span: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """One record of each fingerprint for each group that has an anchor near it, but for anchors that are alone."""
     sets = []
     for k in range(BLOCKS):
-        row, anchor, home = near_anchors(block_of(f, k))
+        row, anchor, _ = near_anchors(block_of(f, k))
+        at = anchor | k << 12
+        keep = ~alone[at]
+        least, most = group[k << 12], group[(k + 1 << 12) - 1]
+        hit = np.zeros((len(f), most - least + 1), bool)
+        hit[row[keep], group[at[keep]] - least] = True
+        row, g = np.nonzero(hit)
+        g += least
         wire = np.empty(len(row), _WIRE)
-        wire["place"], wire["home"], wire["looks"], wire["id"], wire["f"] = anchor | k << 12, home, 1, ids[row], f[row]
+        wire["place"], wire["span"], wire["home"], wire["looks"], wire["id"], wire["f"] = first[g], span[g], 1, 1, ids[row], f[row]
         sets.append(wire)
     return np.concatenate(sets)
 
 
-def _fingerprint_rows(b: pa.RecordBatch, size: int = 5000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _fingerprint_rows(b: pa.RecordBatch, size: int = 2000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for lo in range(0, len(b), size):
         part = b.slice(lo, size)
         yield part.column(0).to_numpy(), np.stack([part.column(k).to_numpy().view(np.uint64) for k in (1, 2, 3)], axis=1)
 
 
 def _loads(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(records at home, records) at each of the BLOCKS * 4096 anchors."""
+    """(records to be found, records) at each of the BLOCKS * 4096 anchors."""
     places = BLOCKS << 12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +252,7 @@ def _loads(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for _, f in _fingerprint_rows(b):
                 for k in range(BLOCKS):
-                    _, anchor, own = near_anchors(block_of(f, k))
+                    _, anchor, own = near_anchors(block_of(f, k), RADIUS + FOUND)
                     near[k << 12 : k + 1 << 12] += np.bincount(anchor, minlength=4096)
                     home[k << 12 : k + 1 << 12] += np.bincount(anchor[own], minlength=4096)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(places, dtype=np.int32)), pa.array(home), pa.array(near)], ["place", "home", "near"])
@@ -222,24 +264,29 @@ def _loads(prints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _to_anchors(prints: DataFrame, limit: int) -> DataFrame:
-    """(grp, part, block): the records that a batch sends to the anchors, packed, for groups of neighbouring anchors with `limit` records or fewer.
+    """(grp, part, block): the records that a batch sends to the anchors, packed, for groups of up to SPAN neighbouring anchors with `limit` records or fewer.
 
-    An anchor with more is a grid: its records at home are dealt to rows and those that look to columns, and each cell is a part.
+    An anchor with more is a grid: its records to be found are dealt to rows and those that look to columns, and each cell is a part.
     """
     home, near = _loads(prints)
-    total = np.cumsum(near)
-    group = (total - near) // max(1, limit)  # anchors one after another, a new group at each further `limit`
+    total = np.cumsum(near.reshape(-1, SPAN), axis=1).ravel()
+    within = (total - near) // max(1, limit)  # of each SPAN anchors one after another, a new group at each further `limit`
     rows, columns = np.maximum(1, -(-2 * home // limit)), np.maximum(1, -(-2 * near // limit))
+    alone = (rows > 1) | (columns > 1)
+    new = np.concatenate(([True], (within[1:] != within[:-1]) | (np.arange(1, len(near)) % SPAN == 0) | alone[1:] | alone[:-1]))
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    span = np.diff(np.append(first, len(near)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, f in _fingerprint_rows(b):
-                every = _records(f, ids)
-                place = every["place"]
-                split = (rows[place] > 1) | (columns[place] > 1)
-                sets = [(every[~split], np.zeros(int((~split).sum()), np.int64))]
-                if split.any():
-                    for own, across, along, mark in ((every[split & (every["home"] > 0)], columns, rows, "looks"), (every[split], rows, columns, "home")):
+                every = _to_spans(f, ids, group, first, span, alone)
+                sets = [(every, np.zeros(len(every), np.int64))]
+                if alone.any():
+                    every = _records(f, ids)
+                    every = every[alone[every["place"]]]
+                    for own, across, along, mark in ((every[every["home"] > 0], columns, rows, "looks"), (every, rows, columns, "home")):
                         p = own["place"]
                         n = across[p]
                         at = np.repeat(np.arange(len(own)), n)

@@ -65,6 +65,34 @@ def test_recall_against_brute_force(spark):
         assert all(want[i] == want[k] for i, k in got.items())  # no pair that brute force hasn't
 
 
+def far_pairs(n=1500):
+    """Fingerprints in pairs that differ by 24 to 30 bits, and the pairs."""
+    r = np.random.default_rng(8)
+    f = r.integers(0, 1 << 63, (n, 3), np.uint64)
+    f[:, 2] &= np.uint64((1 << 56) - 1)
+    g = f.copy()
+    for k in range(n):
+        for bit in r.permutation(184)[: 24 + k % 7]:
+            g[k, bit // 64] ^= np.uint64(1 << int(bit) % 64)
+    return np.concatenate((f, g)), {(k, k + n) for k in range(n)}
+
+
+def test_no_pair_within_the_limit_is_missed():
+    f, pairs = far_pairs()
+    a, b = simhash.compare(simhash._records(f, np.arange(len(f))), simhash.MAX_BITS)
+    assert set(zip(b.tolist(), a.tolist())) == pairs
+
+
+def test_no_pair_is_missed_by_way_of_groups(spark):
+    """The same where a fingerprint goes once to a group of anchors, and where anchors are dealt to several parts."""
+    f, pairs = far_pairs(150)
+    prints = spark.createDataFrame([(k, *map(int, x.view("int64"))) for k, x in enumerate(f)], "doc_id long, f0 long, f1 long, f2 long")
+    for limit in (simhash.GROUP_RECORDS, 300, 5):
+        sets = simhash._to_anchors(prints, limit).groupBy("grp", "part").agg({"block": "collect_list"}).toDF("g", "p", "b").collect()
+        found = {(int(b), int(a)) for s in sets for a, b in zip(*simhash.compare(np.frombuffer(b"".join(map(bytes, s.b)), simhash._WIRE), simhash.MAX_BITS))}
+        assert found == pairs
+
+
 def test_a_part_is_bounded(spark):
     """Many different texts around the same anchors: no part holds more than the limit, and none of the pairs is lost."""
     base = prose(1, 400)
