@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": simhash.op6_simhash,
     "op7_lm": lm.op7_lm,
     "op8_sentence_spans": spans.op8_sentence_spans,
+    "op8_texts": spans.op8_texts,
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
 }
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat": chat.OP4_SQL,
     "op5_exact": exact.OP5_SQL,
     "op8_sentence_spans": spans.OP8_SQL,
+    "op8_texts": spans.OP8_TEXTS_SQL,
 }

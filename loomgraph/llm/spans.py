@@ -80,6 +80,11 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of all documents without the sentences of op8_sentence_spans(): a row a document; texts that lose nothing, null and empty ones stay as they are."""
+    return remove_repeated_spans(text_frame(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 OP8_SQL = r"""
 WITH s AS (
   SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\f\r]+', '\1' || chr(10), 'g'), '[ \t\f\r]*\n[ \t\f\r]*'), lambda x: trim(x) <> '') AS s
@@ -94,3 +99,13 @@ i AS (SELECT *, sum(CASE WHEN pos <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT doc_id, CAST(min(pos) AS INTEGER) AS first_sentence, CAST(max(pos + size) - 1 AS INTEGER) AS last_sentence, min(from_id) AS first_id
 FROM i GROUP BY doc_id, island HAVING sum(words) >= 16
 """
+
+#: The removal of what OP8_SQL lists.
+OP8_TEXTS_SQL = rf"""
+WITH spans AS ({OP8_SQL}),
+gone AS (SELECT doc_id, flatten(list(range(first_sentence, last_sentence + 1))) AS gone FROM spans GROUP BY doc_id),
+d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\f\r]+', '\1' || chr(10), 'g'), '[ \t\f\r]*\n[ \t\f\r]*'), lambda x: trim(x) <> '') AS s
+      FROM documents)
+SELECT d.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(s, lambda x, i: NOT list_contains(gone, i - 1)), ' ') END AS text
+FROM d LEFT JOIN gone USING (doc_id)
+"""

@@ -42,6 +42,20 @@ def test_op8_agrees_with_its_sql(spark, small, duck):
     assert sorted(map(tuple, spans.op8_sentence_spans(spark, small).select("doc_id", "first_sentence", "last_sentence", "first_id").collect())) == sorted(duck.execute(spans.OP8_SQL).fetchall())
 
 
+def test_the_registered_queries_remove_the_sentences(spark, small, duck):
+    """op8_texts returns every document; its SQL says the same, and some lose sentences."""
+    import __spark_entry__ as entry
+
+    got = entry.queries()["op8_texts"](spark, small)
+    want = duck.execute(entry.oracle_sql()["op8_texts"]).fetchall()
+    assert got.columns == ["doc_id", "text"]
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want)
+    before = dict(map(tuple, spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()))
+    changed = {i for i, t in rows if t != before[i]}
+    assert len(rows) == len(before) and changed and changed <= {r.doc_id for r in spans.op8_sentence_spans(spark, small).collect()}
+
+
 def test_against_brute_force(spark):
     r = random.Random(2)
     pool = [prose(k, 12) for k in range(12)]
