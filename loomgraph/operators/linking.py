@@ -1,9 +1,9 @@
 """Linking names to the labels of a knowledge base.
 
-Names and labels are compared in lower case. Fuzzy candidates are labels that contain the
-name; the nested loop that this means is avoided by an exact rewrite: a label that contains
-a name contains each of its 3-grams, so the name's rarest one is joined with an index of the
-labels' 3-grams, and what comes out is verified.
+Names and labels are compared in lower case. Fuzzy candidates are labels that contain the name; the nested loop that
+this means is avoided by an exact rewrite: a label is cut only where a name may start, into pieces as long as names with that start, and
+pieces are joined with names by equality. What many uris share is worked out once a distinct label.
+Either side of a join may be large, however well it compresses, so the joins ask to be merges: none is collected by the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ EXACT_SCORE = 0.95
 FUZZY_THRESHOLD = 0.8
 MIN_CONFIDENCE = 0.5
 GRAM = 3
+#: Rows that a broadcast of what names start with may have.
+BUCKETS = 1 << 16
 
 
 def _names(names: DataFrame) -> DataFrame:
@@ -33,39 +35,49 @@ def _names(names: DataFrame) -> DataFrame:
 def exact_candidates(names: DataFrame, labels: DataFrame) -> DataFrame:
     """(name, uri, label, confidence) for labels (uri, label) equal to a name but for case [JOIN1, FLT10]."""
     keyed = labels.select("uri", "label", F.lower("label").alias("name_lc"))
-    return _names(names).join(keyed, "name_lc").select("name", "uri", "label", F.lit(EXACT_SCORE).alias("confidence"))
+    return _names(names).hint("merge").join(keyed, "name_lc").select("name", "uri", "label", F.lit(EXACT_SCORE).alias("confidence"))
 
 
-def _grams(x: str, size: int = GRAM) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substr(F.col(x), i, F.lit(size))))
+def _lower(labels: DataFrame) -> DataFrame:
+    return labels.select(F.lower("label").alias("label_lc")).filter("label_lc IS NOT NULL").distinct()
 
 
-def containing(names: DataFrame, labels: DataFrame) -> DataFrame:
-    """(name, name_lc, uri, label, label_lc): labels that contain the name [FLT11, FN14], by way of each name's rarest 3-gram.
+def _bucket(x: Column) -> Column:
+    return F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
+
 
-    A shorter name is itself a gram of the labels that contain it. All joins are by equality.
+def _held(names: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, name_lc, label_lc), each once, of distinct names and labels: what is contained in what.
+
+    The first GRAM characters of a name, all of a shorter one, tell where it may stand; which lengths go with them is broadcast by
+    bucket, so at most BUCKETS rows. A bucket that starts share gives pieces that no name equals.
     """
-    own = _names(names)
-    distinct = labels.select(F.lower("label").alias("label_lc")).distinct()  # grams of a label that many uris share are made once
-    index = distinct.filter(F.length("label_lc") >= GRAM).select("label_lc", F.explode(_grams("label_lc")).alias("gram"))
-    often = index.groupBy("gram").agg(F.count("*").alias("n"))
-    long = own.filter(F.length("name_lc") >= GRAM)
-    probe = long.select("name", "name_lc", F.explode(_grams("name_lc")).alias("gram")).join(often, "gram", "left")
-    # A gram that no label has makes n null: the name is in no label, and its least gram finds none.
-    rarest = probe.groupBy("name", "name_lc").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    hits = rarest.join(index, "gram").filter(F.col("label_lc").contains(F.col("name_lc"))).select("name", "name_lc", "label_lc")
-    for size in range(1, GRAM):
-        short = own.filter(F.length("name_lc") == size)
-        pieces = distinct.filter(F.length("label_lc") >= size).select("label_lc", F.explode(_grams("label_lc", size)).alias("name_lc"))
-        hits = hits.unionByName(short.join(pieces, "name_lc").select("name", "name_lc", "label_lc"))
-    return hits.join(labels.select("uri", "label", F.lower("label").alias("label_lc")), "label_lc").select("name", "name_lc", "uri", "label", "label_lc")
+    start = lambda x, at, size: F.substr(x, at, F.lit(size))
+    own = names.withColumn("size", F.length("name_lc"))
+    starts = own.groupBy(_bucket(start(F.col("name_lc"), F.lit(1), GRAM)).alias("bucket")).agg(F.collect_set("size").alias("sizes"))
+    keys = lambda at: F.array(*(_bucket(start(F.col("label_lc"), at, size)) for size in range(1, GRAM + 1)))
+    places = F.transform(F.sequence(F.lit(1), F.length("label_lc")), lambda at: F.struct(at.alias("at"), F.array_distinct(keys(at)).alias("buckets")))
+    spots = labels.filter("label_lc <> ''").select("label_lc", F.explode(places).alias("p")).select("label_lc", "p.at", F.explode("p.buckets").alias("bucket"))
+    spots = spots.join(F.broadcast(starts), "bucket").select("label_lc", "at", F.explode("sizes").alias("size")).filter("at + size <= length(label_lc) + 1")
+    pieces = spots.select("label_lc", F.substr("label_lc", F.col("at"), F.col("size")).alias("name_lc"))
+    return names.hint("merge").join(pieces, "name_lc").select("name", "name_lc", "label_lc").distinct()
+
+
+def _with_uris(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """found (label_lc, ..) with the uri and label of each."""
+    return found.hint("merge").join(labels.select("uri", "label", F.lower("label").alias("label_lc")), "label_lc")
+
+
+def containing(names: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, name_lc, uri, label, label_lc): labels that contain the name [FLT11, FN14]."""
+    return _with_uris(_held(_names(names), _lower(labels)), labels).select("name", "name_lc", "uri", "label", "label_lc")
 
 
 def fuzzy_candidates(names: DataFrame, labels: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """(name, uri, label, confidence): labels that contain the name and are similar to it [JOIN2, FLT9, FN5]; similarity is worked out once a pair of strings."""
-    hits = containing(names, labels)
-    pairs = hits.select("name_lc", "label_lc").distinct().withColumn("confidence", F.when(F.col("name_lc") == F.col("label_lc"), F.lit(1.0)).otherwise(jaro_winkler_similarity("name_lc", "label_lc")))
-    return hits.join(pairs.filter(F.col("confidence") >= threshold), ["name_lc", "label_lc"]).select("name", "uri", "label", "confidence")
+    score = F.when(F.col("name_lc") == F.col("label_lc"), F.lit(1.0)).otherwise(jaro_winkler_similarity("name_lc", "label_lc"))
+    near = _held(_names(names), _lower(labels)).withColumn("confidence", score).filter(F.col("confidence") >= threshold)
+    return _with_uris(near.drop("name_lc"), labels).select("name", "uri", "label", "confidence")
 
 
 def typo_candidates(names: DataFrame, labels: DataFrame, max_edits: int = 2) -> DataFrame:
@@ -141,7 +153,8 @@ def _local(names: DataFrame, given: Knowledge) -> DataFrame:
     exact = exact_candidates(names, given.labels)
     if not given.fuzzy:
         return exact
-    return exact.unionByName(fuzzy_candidates(_names(names).join(exact, "name", "left_anti"), given.labels))
+    rest = _names(names).hint("merge").join(_lower(given.labels).withColumnRenamed("label_lc", "name_lc"), "name_lc", "left_anti")
+    return exact.unionByName(fuzzy_candidates(rest, given.labels))
 
 
 def _remote(names: DataFrame, given: Knowledge) -> DataFrame:

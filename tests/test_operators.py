@@ -133,6 +133,19 @@ def test_blocked_and_nested_loop_agree(spark):
     assert want and rows(linking.containing(names, labels)) == want
 
 
+def test_containment_is_that_of_all_pairs_and_collects_no_side(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("aAé€1# ") for _ in range(n))
+    labels, names = [word(r.randint(0, 12)) for _ in range(150)], sorted({word(r.randint(1, 7)) for _ in range(80)})
+    held = linking.containing(named(spark, *names), labelled(spark, *labels))
+    want = sorted((n, f"u{k}") for n in names for k, x in enumerate(labels) if n.lower() in x.lower())
+    assert sorted((x.name, x.uri) for x in held.collect()) == want and want
+    for df in (held, linking.link(named(spark, *names), labelled(spark, *labels))):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "BroadcastHashJoin [label_lc" not in plan and "BroadcastHashJoin [name" not in plan and "BroadcastHashJoin [gram" not in plan
+
+
 def test_typos_are_those_of_all_pairs(spark):
     from plain_edits import edits
 
