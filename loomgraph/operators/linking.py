@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import comb
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,10 @@ MIN_CONFIDENCE = 0.5
 GRAM = 3
 #: Rows that a broadcast of what names start with may have.
 BUCKETS = 1 << 16
+#: Forms with characters left out that a name may have; with two left out, names have them up to 44 characters.
+MOST_SHORTENED = 1000
+#: Characters of a name that a label's start is compared with first.
+START = 8
 
 
 def _names(names: DataFrame) -> DataFrame:
@@ -80,16 +85,93 @@ def fuzzy_candidates(names: DataFrame, labels: DataFrame, threshold: float = FUZ
     return _with_uris(near.drop("name_lc"), labels).select("name", "uri", "label", "confidence")
 
 
-def typo_candidates(names: DataFrame, labels: DataFrame, max_edits: int = 2) -> DataFrame:
-    """(name, uri, label, edits): labels within max_edits of the name, of at least 3 (max_edits + 1) characters each. Exact:
-    of max_edits + 1 parts of a name, one is left whole by the edits and stands in the label at most max_edits places off."""
+def _without(strings: Column) -> Column:
+    """Each string without one of its characters, for all characters."""
+    shorter = lambda x: F.transform(F.filter(F.sequence(F.lit(1), F.length(x)), lambda i: F.length(x) > 0), lambda i: F.overlay(x, F.lit(""), i, F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(strings, shorter)))
+
+
+def _shortened(x: Column, most: int) -> list[Column]:
+    """By number of characters left out, 0 to most: what is left of x."""
+    out = [F.array(x)]
+    for _ in range(most):
+        out.append(_without(out[-1]))
+    return out
+
+
+def _most_deleted(max_edits: int) -> int:
+    """The length up to which a string has at most MOST_SHORTENED forms with max_edits characters left out."""
+    n = 0
+    while sum(comb(n + 1, k) for k in range(max_edits + 1)) <= MOST_SHORTENED:
+        n += 1
+    return n
+
+
+def _hashed(forms: Column, by: Column) -> Column:
+    return F.transform(forms, lambda v: F.xxhash64(v, by))
+
+
+def _typos_by_deletion(own: DataFrame, lab: DataFrame, max_edits: int) -> DataFrame:
+    """(name, label_lc), some more than once: pairs with a string in common that is left of both when at most max_edits characters go.
+
+    All pairs within max_edits are among them but for those that replacing characters makes equal. Only lengths that the other side has are looked for.
+    """
+
+    def keyed(rows: DataFrame, text: str, other: DataFrame, of: str, turn: bool) -> DataFrame:
+        there = other.agg(F.collect_set(F.length(of)).alias("there"))  # a row of a length each, up to that of the names that come here
+        forms, n, keys = _shortened(F.col(text), max_edits), F.length(text), []
+        for mine in range(max_edits + 1):
+            for its in range(max_edits + 1):
+                if mine != its or 0 < mine < max_edits:
+                    gone = F.lit(f"{its},{mine}" if turn else f"{mine},{its}")
+                    keys.append(F.when(F.array_contains("there", n - mine + its), _hashed(forms[mine], gone)).otherwise(F.array().cast("array<long>")))
+        return rows.crossJoin(F.broadcast(there)).select(*rows.columns, F.explode(F.flatten(F.array(*keys))).alias("key"))
+
+    a = keyed(own.select("name", "name_lc"), "name_lc", lab, "label_lc", False).drop("name_lc")
+    return a.hint("merge").join(keyed(lab, "label_lc", own, "name_lc", True), "key").select("name", "label_lc")
+
+
+def _near_starts(own: DataFrame, lab: DataFrame, max_edits: int) -> DataFrame:
+    """The labels of lab whose start may be that of a name of own within max_edits, and a few others. Starts are compared once each; of those that fit, at most BUCKETS rows are broadcast."""
+    forms = lambda x: F.array_distinct(F.transform(F.flatten(F.array(*_shortened(x, max_edits))), lambda v: F.xxhash64(v)))
+    starts = own.select(F.substring("name_lc", 1, START).alias("x")).distinct().select(F.explode(forms(F.col("x"))).alias("key")).distinct()
+    begun = lambda: F.substring("label_lc", 1, START + max_edits)
+    each = lab.select(begun().alias("x")).distinct()
+    spots = each.select("x", F.explode(F.array_distinct(F.flatten(F.array(*(forms(F.substring("x", 1, n)) for n in range(START - max_edits, START + max_edits + 1)))))).alias("key"))
+    fit = spots.hint("merge").join(starts, "key").select(_bucket(F.col("x")).alias("of")).distinct()
+    return lab.withColumn("of", _bucket(begun())).join(F.broadcast(fit), "of", "left_semi").drop("of")
+
+
+def _typos_by_places(own: DataFrame, lab: DataFrame, max_edits: int) -> DataFrame:
+    """(name, label_lc), each once: labels that differ from the name at max_edits places or fewer, by what stands at the other places and where those are."""
+
+    def keyed(rows: DataFrame, text: str) -> DataFrame:
+        forms, n = F.array(F.struct(F.array().cast("array<int>").alias("at"), F.lit("").alias("out"), F.col(text).alias("rest"))), F.length(text)
+        every = [forms]
+        for _ in range(max_edits):
+            more = lambda f: F.transform(
+                F.filter(F.sequence(F.lit(1), n), lambda i: i > F.coalesce(F.array_max(f["at"]), F.lit(0))),
+                lambda i: F.struct(F.array_append(f["at"], i).alias("at"), F.concat(f["out"], F.substr(F.col(text), i, F.lit(1))).alias("out"), F.overlay(f["rest"], F.lit("\0"), i, F.lit(1)).alias("rest")),
+            )
+            every.append(F.flatten(F.transform(every[-1], more)))
+        keys = F.transform(F.flatten(F.array(*every)), lambda f: F.struct(F.xxhash64(f["at"], f["rest"]).alias("key"), f["out"].alias("out")))
+        return rows.select(text, *([] if text == "label_lc" else ["name"]), F.explode(keys).alias("f")).select("*", "f.*").drop("f")
+
+    a = keyed(own, "name_lc").withColumnRenamed("out", "own_out").drop("name_lc")
+    met = a.hint("merge").join(keyed(lab, "label_lc"), "key").filter(F.length("own_out") == F.length("out"))
+    apart = F.lit(True)
+    for k in range(1, max_edits + 1):
+        apart &= (F.length("out") < k) | (F.substring("own_out", k, 1) != F.substring("out", k, 1))
+    return met.filter(apart).select("name", "label_lc")
+
+
+def _typos_by_parts(own: DataFrame, lab: DataFrame, max_edits: int) -> DataFrame:
+    """(name, label_lc), some more than once, all pairs within max_edits among them: of max_edits + 1 parts of a name, one is left whole by the edits and stands in the label at most max_edits places off."""
     parts = max_edits + 1
-    own = _names(names).filter(F.length("name_lc") >= GRAM * parts)
     step = lambda k: F.floor(F.length("name_lc") * k / parts).cast("int")
     keys = F.array(*(F.struct(F.lit(k).alias("k"), (step(k) + 1).alias("at"), F.substr("name_lc", step(k) + 1, step(k + 1) - step(k)).alias("part")) for k in range(parts)))
     probes = own.select("name", "name_lc", F.length("name_lc").alias("n"), F.explode(keys).alias("p")).select("name", "name_lc", "n", "p.k", "p.at", "p.part")
     lengths = own.select(F.length("name_lc").alias("n")).distinct()
-    lab = labels.select(F.lower("label").alias("label_lc")).distinct()
     # A label is cut in the way of each length of name that is near its own.
     around = F.sequence(F.length("label_lc") - max_edits, F.length("label_lc") + max_edits)
     near = lab.select("label_lc", F.explode(around).alias("n")).join(lengths, "n")
@@ -101,8 +183,24 @@ def typo_candidates(names: DataFrame, labels: DataFrame, max_edits: int = 2) ->
 
     spots = F.flatten(F.array(*map(places, range(parts))))
     spots = near.select("label_lc", "n", F.explode(F.array_distinct(spots)).alias("s")).select("label_lc", "n", "s.k", "s.part")
-    pairs = probes.join(spots, ["n", "k", "part"]).select("name", "name_lc", "label_lc").distinct().withColumn("edits", F.levenshtein("name_lc", "label_lc", max_edits)).filter("edits >= 0")
-    return pairs.join(labels.select("uri", "label", F.lower("label").alias("label_lc")), "label_lc").select("name", "uri", "label", F.col("edits").cast("long").alias("edits"))
+    return probes.hint("merge").join(spots, ["n", "k", "part"]).select("name", "label_lc")
+
+
+def typo_candidates(names: DataFrame, labels: DataFrame, max_edits: int = 2) -> DataFrame:
+    """(name, uri, label, edits): labels within max_edits of the name, of at least 3 (max_edits + 1) characters each. Exact.
+
+    Names that differ in a few characters only share all else, so no part of them tells which labels are near; all of them
+    but max_edits characters does. Of long names there are too many such forms, and they are compared by parts.
+    """
+    own = _names(names).filter(F.length("name_lc") >= GRAM * (max_edits + 1))
+    most = _most_deleted(max_edits)
+    lab, short, long = _lower(labels), own.filter(F.length("name_lc") <= most), own.filter(F.length("name_lc") > most)
+    low = lambda n: F.length("label_lc") >= n - max_edits
+    near = _near_starts(short, lab.filter(low(GRAM * (max_edits + 1)) & (F.length("label_lc") <= most + max_edits)), max_edits)
+    pairs = _typos_by_places(short, near, max_edits).unionByName(_typos_by_deletion(short, near, max_edits)).unionByName(_typos_by_parts(long, lab.filter(low(most + 1)), max_edits))
+    edits = F.filter(F.array(F.levenshtein(F.lower("name"), "label_lc", max_edits)), lambda e: e >= 0)  # told once a pair: a filter and a column would each do it
+    told = pairs.repartition("label_lc").distinct().select("name", "label_lc", F.explode(edits).alias("edits"))
+    return _with_uris(told, labels).select("name", "uri", "label", F.col("edits").cast("long").alias("edits"))
 
 
 def with_types(candidates: DataFrame, types: DataFrame) -> DataFrame:

@@ -164,6 +164,22 @@ def test_typos_are_those_of_all_pairs(spark):
     assert got == want and want
 
 
+def test_typos_of_numbered_names_are_not_compared_all_with_all(spark):
+    from plain_edits import edits
+
+    numbered = [f"Supplier#{k:09d}" for k in range(0, 3000, 7)]
+    long = ["x" * 50 + f"{k:03d}" for k in range(40)]
+    names = [*numbered[::40], *(n.replace("00000", "0000x") for n in numbered[::50]), "upplier#0000000070", "aé€ bcdefg hi", *long[::9]]
+    labels = [*numbered, *(f"Customer#{k:09d}" for k in range(300)), "aé€ bcdefh", *long]
+    found = linking.typo_candidates(named(spark, *names), labelled(spark, *labels))
+    want = {(n, x): e for n in names for x in labels if abs(len(n) - len(x)) <= 2 and (e := edits(n.lower(), x.lower())) <= 2}
+    assert {(x.name, x.label): x.edits for x in found.collect()} == want and found.count() == len(want)
+    own, lab = linking._names(named(spark, *numbered)), linking._lower(labelled(spark, *numbered))
+    pairs = linking._typos_by_places(own, lab, 2).count() + linking._typos_by_deletion(own, lab, 2).count()
+    assert pairs < 0.2 * len(numbered) ** 2
+    assert linking._near_starts(own, linking._lower(labelled(spark, *labels)), 2).filter("label_lc LIKE 'customer%'").count() == 0
+
+
 def test_links(spark):
     labels = labelled(spark, "Apple Inc", "Apple", "Pineapple", "apple")
     got = {r.name: (r.uri, r.confidence) for r in linking.link(named(spark, "APPLE", "apple in", "zzz"), labels).collect()}
