@@ -47,7 +47,7 @@ def slug(x: Column) -> Column:
 
 
 def predicate_stem(x: Column) -> Column:
-    """[FN2] a predicate in lower case, stemmed. Use it on distinct predicates and join back."""
+    """[FN2] a predicate in lower case, stemmed; stem() keeps what it has told."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

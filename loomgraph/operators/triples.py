@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonld as J
 from ..functions import text as T
+from ..functions.stem import stem
 
 
 def _kind(v: Column) -> Column:
@@ -25,9 +26,8 @@ def _fields(rows: DataFrame, of: str) -> DataFrame:
 
 
 def _stemmed(rows: DataFrame) -> DataFrame:
-    """Predicates stemmed once for each distinct one [FN2]."""
-    stems = rows.select("key").distinct().select("key", T.predicate_stem("key").alias("p"))
-    return rows.join(stems, "key")
+    """rows with p, the stem of key [FN2]. No join: predicates are few, and all rows of one would meet in one task."""
+    return rows.withColumn("p", T.predicate_stem(F.col("key")))
 
 
 def _nodes(docs: DataFrame, text: str) -> DataFrame:
@@ -66,11 +66,11 @@ def gold_triples(docs: DataFrame) -> DataFrame:
     Heads and tails are their first mentions; relations with an index out of range or without a property are dropped.
     """
     spark = docs.sparkSession
-    props = spark.createDataFrame(list(T.RELATION_PROPERTIES.items()), "r string, key string")
+    props = spark.createDataFrame([(r, stem(key.lower())) for r, key in T.RELATION_PROPERTIES.items()], "r string, p string")
     name = lambda i: F.get(F.get("vertexSet", i), F.lit(0))["name"]
     rows = docs.select("doc_id", "vertexSet", F.explode("labels").alias("l")).select("doc_id", name(F.col("l.h")).alias("head"), name(F.col("l.t")).alias("o"), F.col("l.r").alias("r"))
     rows = rows.filter("head IS NOT NULL AND o IS NOT NULL").join(F.broadcast(props), "r")  # 18 rows
-    return _stemmed(rows).select("doc_id", T.lowered_subject(F.col("head")).alias("s"), "p", "o").distinct()
+    return rows.select("doc_id", T.lowered_subject(F.col("head")).alias("s"), "p", "o").distinct()
 
 
 def plausible(triples: DataFrame) -> DataFrame:

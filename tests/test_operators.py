@@ -112,6 +112,15 @@ def test_knowledge(spark):
     assert [r.name_lc for r in knowledge.shared_entities(found(spark)).collect()] == ["acme"]
 
 
+def test_no_task_gathers_the_rows_of_a_predicate(spark):
+    gold = spark.sql("SELECT id AS doc_id, array(array(named_struct('name', concat('H', id))), array(named_struct('name', 'T'))) AS vertexSet, array(named_struct('h', 0, 't', 1, 'r', 'P17')) AS labels FROM range(50)")
+    docs = spark.sql("SELECT id AS doc_id, concat('{\"@type\":\"X\",\"name\":\"N', id, '\",\"worksFor\":\"y\"}') AS jsonld FROM range(50)")
+    for rows, p in ((triples.gold_triples(gold), "addresscountri"), (triples.basic_triples(docs), "worksfor")):
+        assert rows.count() == 50 and {r.p for r in rows.collect()} == {p}
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "key#" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
 # -- linking
 
 
