@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,23 @@ ORGANISATION_MARKS = ("Corp", "Company", "Ltd", "LLC", "Inc")
 SCHEMA_TYPES = {"Person": ("person",), "Organization": ("organization", "organisation", "company"), "Place": ("place", "location", "city", "country"), "Event": ("event",)}
 
 
+#: Characters of text that a task's Python works on at once; a longer text is a step of its own.
+SLICE_CHARS = 500_000
+
+
+def slices(s: pd.Series, most: int = SLICE_CHARS) -> Iterator[pd.Series]:
+    """A batch of texts in parts of at most `most` characters, so that results needn't be held for all of a batch, which has up to 10,000 texts."""
+    at = size = 0
+    for k, t in enumerate(s):
+        n = len(t) if isinstance(t, str) else 0
+        if k > at and size + n > most:
+            yield s.iloc[at:k]
+            at, size = k, 0
+        size += n
+    if at < len(s):
+        yield s.iloc[at:]
+
+
 def transliterate(text: str) -> str:
     """ASCII letters for Latin ones: accents go, ligatures and strokes are spelt out; other scripts are dropped."""
     return unicodedata.normalize("NFKD", "".join(_LETTERS.get(c, c) for c in text)).encode("ascii", "ignore").decode()

@@ -74,8 +74,9 @@ def chunk(docs: DataFrame, size: int = SIZE, overlap: int = 0, threshold: int =
 
     @F.pandas_udf("array<struct<text:string,start_char:long,end_char:long,start_byte:long,end_byte:long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([None if t is None else rows(t) for t in s], dtype=object)
+        for batch in batches:
+            for s in T.slices(batch):
+                yield pd.Series([None if t is None else rows(t) for t in s], dtype=object)
 
     def rows(t: str) -> list[tuple]:
         out, seen, at = [], 0, 0

@@ -9,6 +9,7 @@ sentences back.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -75,8 +76,9 @@ def mentions(docs: DataFrame) -> DataFrame:
     @F.pandas_udf(_MENTION_ROWS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = Finder()
-        for s in batches:
-            yield pd.Series([[] if t is None else f.find(t) for t in s], dtype=object)
+        for batch in batches:
+            for s in T.slices(batch):
+                yield pd.Series([[] if t is None else f.find(t) for t in s], dtype=object)
 
     return docs.select("doc_id", F.explode(run("text")).alias("m")).select("doc_id", "m.*")
 
@@ -135,11 +137,15 @@ def rewrite_guided(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """
 
     @F.pandas_udf("struct<resolved_text string, n_replaced long>")
-    def run(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         r = Rewriter()
-        return pd.DataFrame([(None, None) if t is None else r.rewrite(t, () if k is None else [(e["sentence"], e["entity"]) for e in k]) for t, k in zip(texts, known)], columns=["resolved_text", "n_replaced"]).astype({"n_replaced": "Int64"})
+        for texts, told in batches:
+            for s in T.slices(texts):
+                rows = zip(s, told.loc[s.index])
+                yield pd.DataFrame([(None, None) if t is None else r.rewrite(t, () if k is None else [(e["sentence"], e["entity"]) for e in json.loads(k)]) for t, k in rows], columns=["resolved_text", "n_replaced"]).astype({"n_replaced": "Int64"})
 
-    own = entities.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("sentence", "entity"))).alias("known"))
+    # One text a document crosses to Python, and not an object for each entity.
+    own = entities.groupBy("doc_id").agg(F.to_json(F.sort_array(F.collect_set(F.struct("sentence", "entity")))).alias("known"))
     return docs.select("doc_id", "text").join(own, "doc_id", "left").select("doc_id", run("text", "known").alias("r")).select("doc_id", "r.*")
 
 
@@ -203,8 +209,9 @@ def rewrite_pronouns(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataF
     @F.pandas_udf("struct<resolved_text string, n_replaced long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         r = Rewriter(max_distance)
-        for s in batches:
-            yield pd.DataFrame([(None, None) if t is None else r.rewrite(t) for t in s], columns=["resolved_text", "n_replaced"]).astype({"n_replaced": "Int64"})
+        for batch in batches:
+            for s in T.slices(batch):
+                yield pd.DataFrame([(None, None) if t is None else r.rewrite(t) for t in s], columns=["resolved_text", "n_replaced"]).astype({"n_replaced": "Int64"})
 
     return docs.select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import jsonld as J
+from ..functions import text as T
 from .chunking import LONG_DOCUMENT, OVERLAP, SIZE, chunk, chunk_spans
 from .coref import MAX_DISTANCE, Rewriter, resolve
 
@@ -212,8 +213,9 @@ def extract_documents(
                 t = rewriter.rewrite(t)[0]
             return [(k, lo, hi, *extract_one(p, t[lo:hi], options)) for k, (lo, hi) in enumerate(chunk_spans(t, size, overlap, threshold))]
 
-        for s in batches:
-            yield pd.Series([[] if t is None else one(t) for t in s], dtype=object)
+        for batch in batches:
+            for s in T.slices(batch):
+                yield pd.Series([[] if t is None else one(t) for t in s], dtype=object)
 
     return docs.select("doc_id", F.explode(run.asNondeterministic()("text")).alias("c")).select("doc_id", "c.*")
 
