@@ -250,12 +250,48 @@ def resolve(docs: DataFrame, strategy: str = "rules", provider: Callable[[], Cal
 def simple_antecedents(docs: DataFrame) -> DataFrame:
     """(doc_id, position, pronoun, pronoun_type, antecedent): each pronoun with the last capitalised word of three letters or more before it [DOM5, JOIN9, FLT25].
 
-    Positions are those of words in the text; outer punctuation doesn't count. Neither agreement nor distance is looked at.
+    Positions are those of words in the text; outer punctuation doesn't count. Neither agreement nor distance is looked at. No shuffle.
     """
-    word = lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    rows = docs.select("doc_id", F.posexplode(F.transform(T.word_list(F.col("text")), word)).alias("position", "w")).withColumn("pronoun_type", T.pronoun_type(F.col("w")))
-    name = F.col("pronoun_type").isNull() & F.col("w").rlike(r"^\p{Lu}..") & ~F.col("w").isin("The", "A", "An", "This")
-    rows = rows.filter(name | F.col("pronoun_type").isNotNull())
-    before = W.partitionBy("doc_id").orderBy("position").rowsBetween(W.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("pronoun_type").isNull(), F.col("w")), ignorenulls=True).over(before)
-    return rows.select("doc_id", "position", F.col("w").alias("pronoun"), "pronoun_type", last.alias("antecedent")).filter("pronoun_type IS NOT NULL")
+
+    @F.pandas_udf("array<struct<position:int,pronoun:string,pronoun_type:string,antecedent:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = LastCapitalised()
+        for batch in batches:
+            for s in T.slices(batch):
+                yield pd.Series([[] if t is None else f.find(t) for t in s], dtype=object)
+
+    return docs.select("doc_id", F.explode(run("text")).alias("p")).select("doc_id", "p.*")
+
+
+class LastCapitalised:
+    """The pronouns of a text, each with the last capitalised word before it."""
+
+    MOST = 100_000  # words that are kept
+
+    def __init__(self):
+        self.kinds = {form: kind for kind, forms in T.PRONOUNS.items() for form in forms}
+        self.words, self.outer, self.letters = regex.compile(f"[^{_BLANKS}]+"), regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\Z"), regex.compile(r"^[^\p{L}]+|[^\p{L}]+\Z")
+        self.name = regex.compile(r"\p{Lu}[^\n\r\x85\u2028\u2029]{2}")
+        self.known: dict[str, tuple[str, str | None] | None] = {}
+
+    def told(self, word: str) -> tuple[str, str | None] | None:
+        """(word without outer punctuation, type of pronoun), or None for what is neither pronoun nor name."""
+        bare = self.outer.sub("", word)
+        kind = self.kinds.get(self.letters.sub("", bare.lower()))
+        return (bare, kind) if kind or self.name.match(bare) and bare not in ("The", "A", "An", "This") else None
+
+    def find(self, text: str) -> list[tuple[int, str, str, str | None]]:
+        out, last, known = [], None, self.known
+        for k, w in enumerate(self.words.findall(text)):
+            try:
+                x = known[w]
+            except KeyError:
+                if len(known) >= self.MOST:
+                    known.clear()
+                x = known[w] = self.told(w)
+            if x is not None:
+                if x[1] is None:
+                    last = x[0]
+                else:
+                    out.append((k, x[0], x[1], last))
+        return out
