@@ -92,18 +92,18 @@ def antecedents(found: DataFrame, max_distance: int = MAX_DISTANCE, whole_senten
     """(doc_id, sentence, ordinal, pronoun, pronoun_type, antecedent) for the pronouns of mentions() [JOIN7, FLT18].
 
     antecedent is null where no name agrees. With whole_sentence, names that follow the pronoun in its own sentence
-    are candidates too, and the last one wins. Both windows use one partitioning by document.
+    are candidates too, and the last one wins. One window over narrow rows: the last name before a pronoun stands in its own
+    sentence or, if none does, in the last that has one, which may be too far back.
     """
-    # The last name before a sentence is the last of all before it, if that isn't too far back: a frame that only grows.
-    near = W.partitionBy("doc_id").orderBy("sentence").rangeBetween(W.unboundedPreceding, 0 if whole_sentence else -1)
-    here = W.partitionBy("doc_id", "sentence").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
-    kinds = list(T.PRONOUNS)
-    rows = found.select("*", *(_last_name(k).over(near).alias(f"near_{k}") for k in kinds), *(() if whole_sentence else (_last_name(k).over(here).alias(f"here_{k}") for k in kinds)))
+    # Frames that only grow.
+    own = W.partitionBy("doc_id")
+    before = own.orderBy("sentence").rangeBetween(W.unboundedPreceding, 0) if whole_sentence else own.orderBy("sentence", "ordinal").rowsBetween(W.unboundedPreceding, -1)
+    same = {"feminine": "masculine"}  # they agree with the same names
+    rows = found.select("*", *(_last_name(k).over(before).alias(f"last_{k}") for k in T.PRONOUNS if k not in same))
     best = F.lit(None).cast("string")
-    for k in kinds:
-        before = F.when(F.col(f"near_{k}.sentence") >= F.col("sentence") - max_distance, F.col(f"near_{k}"))
-        own = before if whole_sentence else F.coalesce(F.col(f"here_{k}"), before)
-        best = F.when(F.col("pronoun_type") == k, own["mention"]).otherwise(best)
+    for k in T.PRONOUNS:
+        last = F.col(f"last_{same.get(k, k)}")
+        best = F.when(F.col("pronoun_type") == k, F.when(last["sentence"] >= F.col("sentence") - max_distance, last["mention"])).otherwise(best)
     return rows.filter("pronoun_type IS NOT NULL").select("doc_id", "sentence", "ordinal", F.col("mention").alias("pronoun"), "pronoun_type", best.alias("antecedent"))
 
 
