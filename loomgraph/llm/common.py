@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import cut, shared_dir
+
 #: Characters of text that one numpy step handles; a longer document is one step of its own.
 CHUNK_CHARS = 500_000
 
@@ -30,35 +30,12 @@ def fresh_name(docs: DataFrame, stem: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder. Where none is configured, a temporary one in local mode (tests), else an error:
-    executors on other machines wouldn't see it."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[[\d*, ]+\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system, whichever it is."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that what follows neither recomputes it nor loses it with an executor.
-
-    With spark.cleaner.referenceTracking.cleanCheckpoints, Spark deletes the files once nothing refers to the result any more.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list]]:
     """(ids, texts) lists of at most `limit` characters, or one document, each; every row is in one of them."""
     ids: list = []

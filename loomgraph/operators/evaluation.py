@@ -32,7 +32,12 @@ def _counts(rows: DataFrame, *keys: str) -> DataFrame:
 
 def per_document(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """(doc_id, tp, fp, fn, precision, recall, f1) [AGG8, AGG9]; a ratio with nothing to divide by is 0."""
-    return _scores(_counts(flagged(predicted, gold), "doc_id"), "doc_id")
+    return scored(flagged(predicted, gold))
+
+
+def scored(outcomes: DataFrame) -> DataFrame:
+    """per_document() of flagged() triples."""
+    return _scores(_counts(outcomes, "doc_id"), "doc_id")
 
 
 def macro(scores: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import loaders
+from ..sources.sinks import cut
 from . import evaluation as E
 from . import extraction as X
 from . import triples as R
@@ -37,14 +38,17 @@ class Result:
         return lines.orderBy("doc_id", "at").select("doc_id", "line")
 
 
-def _result(predicted: DataFrame, gold: DataFrame, extracted: DataFrame, tier) -> Result:
+def _result(predict: Callable[[DataFrame], DataFrame], gold: DataFrame, extracted: DataFrame, tier) -> Result:
+    """Texts are extracted once, and triples compared once: both are written to the shared folder."""
+    extracted = cut(extracted)
     failed = extracted.filter("jsonld IS NULL").select("doc_id", "error", "error_text")
     gave = extracted.filter("jsonld IS NOT NULL").select("doc_id")
     own = gold.join(gave, "doc_id", "left_semi")
-    scores = gave.join(E.per_document(predicted, own), "doc_id", "left")
+    outcomes = cut(E.flagged(predict(extracted.filter("jsonld IS NOT NULL")), own))
+    scores = gave.join(E.scored(outcomes), "doc_id", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")] + [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")]
     scores = scores.select("doc_id", *zero).withColumn("tier", tier(F.col("f1")))
-    return Result(E.flagged(predicted, own), scores, failed)
+    return Result(outcomes, scores, failed)
 
 
 def evaluate_cases(cases: DataFrame, provider: Callable[[], X.Provider] = X.RuleProvider, options: X.Options = X.Options()) -> Result:
@@ -54,15 +58,14 @@ def evaluate_cases(cases: DataFrame, provider: Callable[[], X.Provider] = X.Rule
     """
     texts = cases.filter("raw_text IS NOT NULL").select(F.col("id").alias("doc_id"), F.col("raw_text").alias("text"))
     extracted = X.extract(texts, provider, options)
-    return _result(R.basic_triples(extracted.filter("jsonld IS NOT NULL")), loaders.case_triples(cases), extracted, E.tier)
+    return _result(R.basic_triples, loaders.case_triples(cases), extracted, E.tier)
 
 
 def evaluate_documents(annotated: DataFrame, provider: Callable[[], X.Provider] = X.RuleProvider, options: X.Options = X.Options(), least_retries: int = 5) -> Result:
     """Annotated documents (doc_id, sents, vertexSet, labels): extract the whole text, flatten, leave out implausible predicates, score [DOM25]."""
     options = replace(options, max_retries=max(options.max_retries, least_retries))
-    chunks = X.extract_documents(R.document_text(annotated), provider, options)
+    chunks = cut(X.extract_documents(R.document_text(annotated), provider, options))
     merged = X.merge_chunks(chunks, once=True)
     errors = chunks.groupBy("doc_id").agg(F.count("jsonld").alias("n"), F.min("error").alias("error"), F.min("error_text").alias("error_text"))
     extracted = errors.join(merged, "doc_id").select("doc_id", F.when(F.col("n") > 0, F.col("jsonld")).alias("jsonld"), "error", "error_text")
-    predicted = R.plausible(R.document_triples(extracted.filter("jsonld IS NOT NULL")))
-    return _result(predicted, R.gold_triples(annotated), extracted, E.document_tier)
+    return _result(lambda docs: R.plausible(R.document_triples(docs)), R.gold_triples(annotated), extracted, E.document_tier)

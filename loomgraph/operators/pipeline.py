@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.loaders import Settings
+from ..sources.sinks import cut
 from . import extraction as X
 from . import linking as L
 from . import validation as V
@@ -33,6 +34,7 @@ def documents(docs: DataFrame, settings: Settings = Settings(), labels: DataFram
         return merged.select("doc_id", "jsonld", F.lit(0).cast("long").alias("n_names"), F.lit(0).cast("long").alias("n_linked"))
     if labels is None:
         raise ValueError("linking needs labels")
+    merged = cut(merged)  # linking looks at it for the names and for the documents
     if settings.linking == "remote":
         merged = merged.join(docs.select("doc_id", "text"), "doc_id")
     return L.link_documents(merged, labels, settings.linking, settings.link_fuzzy, annotated, settings.link_confidence)
