@@ -6,7 +6,7 @@ orders are total, so results don't depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -61,18 +61,44 @@ def prefix_state(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "chunk_id", known.alias("known")).select("doc_id", "chunk_id", F.size("known").cast("long").alias("n_known"), "known")
 
 
+def _line() -> Column:
+    return F.concat(F.lit("- "), "name", F.lit(" ("), F.coalesce("type", F.lit("Thing")), F.lit(")"))
+
+
+def _also() -> Column:
+    return F.when(F.size("aliases") > 0, F.concat(F.lit(" [also called: "), F.array_join("aliases", ", "), F.lit("]"))).otherwise("")
+
+
 def context_summary(known: DataFrame, alias_lists: DataFrame | None = None, props: DataFrame | None = None) -> DataFrame:
     """(doc_id, summary): a line for each entity, by name, under a heading [AGG7]."""
-    rows = known.select("doc_id", "name_lc", F.concat(F.lit("- "), "name", F.lit(" ("), F.coalesce("type", F.lit("Thing")), F.lit(")")).alias("line"))
+    rows = known.select("doc_id", "name_lc", _line().alias("line"))
     if alias_lists is not None:
-        rows = rows.join(alias_lists, ["doc_id", "name_lc"], "left").withColumn("line", F.concat("line", F.when(F.size("aliases") > 0, F.concat(F.lit(" [also called: "), F.array_join("aliases", ", "), F.lit("]"))).otherwise("")))
+        rows = rows.join(alias_lists, ["doc_id", "name_lc"], "left").withColumn("line", F.concat("line", _also()))
     if props is not None:
         own = props.groupBy("doc_id", "name_lc").agg(F.array_join(F.sort_array(F.collect_list(F.concat("property", F.lit(": "), "value"))), ", ").alias("told"))
         rows = rows.join(own, ["doc_id", "name_lc"], "left").withColumn("line", F.concat("line", F.when(F.col("told").isNotNull(), F.concat(F.lit(" ["), "told", F.lit("]"))).otherwise("")))
+    return _headed(rows)
+
+
+def _headed(rows: DataFrame) -> DataFrame:
     lines = F.transform(F.sort_array(F.collect_list(F.struct("name_lc", "line"))), lambda x: x["line"])
     return rows.groupBy("doc_id").agg(F.concat(F.lit("Entities known from earlier chunks:\n"), F.array_join(lines, "\n")).alias("summary"))
 
 
+def summary_of(found: DataFrame) -> DataFrame:
+    """(doc_id, summary): context_summary() of first_wins() and aliases() of the same rows (doc_id, chunk_id, offset, name, type, alias).
+
+    The rows are read once, and an entity's aliases are gathered with its first mention, so there is no join.
+    """
+    used = F.collect_set(F.struct(F.lower("alias").alias("alias"), "chunk_id"))
+    own = found.groupBy("doc_id", F.lower(_NAME).alias("name_lc")).agg(F.min(F.struct("chunk_id", "offset", "name", "type")).alias("m"), used.alias("used"))
+    own = own.select("doc_id", "name_lc", "m.name", "m.type", F.filter("used", lambda u: u["chunk_id"] > F.col("m.chunk_id")).alias("later"))
+    since = lambda a: F.array_min(F.transform(F.filter("later", lambda u: u["alias"].eqNullSafe(a)), lambda u: u["chunk_id"]))
+    first = F.transform(F.array_distinct(F.transform("later", lambda u: u["alias"])), lambda a: F.struct(since(a).alias("at"), a.alias("alias")))
+    rows = own.withColumn("aliases", F.transform(F.sort_array(first), lambda x: x["alias"]))
+    return _headed(rows.select("doc_id", "name_lc", F.concat(_line(), _also()).alias("line")))
+
+
 def shared_entities(found: DataFrame) -> DataFrame:
     """(name_lc, n_docs): names that more than one document mentions [JOIN14, DOM26]; an aggregate, not a self join, so a name in all documents costs no more than another."""
     return found.groupBy(F.lower(_NAME).alias("name_lc")).agg(F.count_distinct("doc_id").alias("n_docs")).filter("n_docs > 1")

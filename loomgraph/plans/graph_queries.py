@@ -379,9 +379,7 @@ def kb_prefix_state(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, 'Entities known from earlier chunks:' || chr(10) || string_agg(line, chr(10) ORDER BY name_lc) AS summary FROM x GROUP BY doc_id"""
 )
 def kb_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = found(spark, d)
-    known = K.first_wins(rows)
-    return K.context_summary(known, K.aliases(rows.select("doc_id", "chunk_id", "name", F.col("p_brand").alias("alias")), known))
+    return K.summary_of(found(spark, d).withColumnRenamed("p_brand", "alias"))
 
 
 @query(f"SELECT name_lc, count(DISTINCT doc_id) AS n_docs FROM ({_FOUND}) GROUP BY 1 HAVING count(DISTINCT doc_id) > 1")

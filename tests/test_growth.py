@@ -1,10 +1,12 @@
 """What must not grow faster than the input: calls of a provider, what Python holds at once, sorts."""
 
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import coref, extraction, harness, pipeline, validation
+from loomgraph.operators import coref, extraction, harness, knowledge, pipeline, validation
 from loomgraph.sources.loaders import Settings
 
 
@@ -61,3 +63,15 @@ def test_simple_antecedents_need_no_shuffle(spark):
     rows = coref.simple_antecedents(docs)
     assert sorted(tuple(r) for r in rows.collect()) == [(1, 2, "She", "feminine", "Ann"), (1, 6, "HIM", "masculine", "Öde"), (1, 8, "he", "masculine", "IT's")] + [(4, 1, "they", "plural", None), (4, 3, "them", "plural", None), (4, 7, "it", "neutral", "Bobs")]
     assert "Exchange" not in plan(rows)
+
+
+def test_a_summary_reads_its_rows_once(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(r.randrange(3), r.randrange(4), r.randrange(9), r.choice(["Bob", "BOB", "Al", "Cy"]), r.choice(["Person", None]), r.choice(["x", "X", "y", None])) for _ in range(80)]
+    spark.createDataFrame(rows, "doc_id long, chunk_id int, offset int, name string, type string, alias string").write.parquet(str(tmp_path / "found"))
+    found = spark.read.parquet(str(tmp_path / "found"))
+    known = knowledge.first_wins(found)
+    want = knowledge.context_summary(known, knowledge.aliases(found.select("doc_id", "chunk_id", "name", "alias"), known))
+    got = knowledge.summary_of(found)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and any("also called" in x.summary for x in got.collect())
+    assert plan(got).count("FileScan") == 1 and "Join" not in plan(got)
